@@ -192,6 +192,8 @@ def line_id() -> Column:
         zero_fill(F.col("l_partkey").cast("string"), 12),
         F.lit("-"),
         zero_fill(F.col("l_suppkey").cast("string"), 12),
+        F.lit("-"),
+        zero_fill(money(F.col("l_extendedprice")), 12),
     )
 
 
@@ -321,10 +323,15 @@ def filing_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.col("l_discount") * 100).cast("int").cast("string"),
         F.lit("</ix:nonFraction></ix:nonNumeric>"),
     )
+    # Grouping reuses this partitioning. The number is fixed because reading HTML costs time by
+    # the row: sized by its few bytes, the group step would leave the reader a single task.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         _lines(spark, sf)
+        .withColumn("filing_id", F.col("l_orderkey"))
+        .repartition(tasks, "filing_id")
         .select(
-            F.col("l_orderkey").alias("filing_id"),
+            "filing_id",
             line_id().alias("place"),
             context.alias("context"),
             body.alias("body"),
@@ -494,3 +501,114 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
         F.col("label"),
         F.col("embedding").alias("vector"),
     )
+
+
+def index_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """An index page per filing with a table of documents, then a second table to leave out."""
+    folder = F.concat(F.lit("/Archives/edgar/data/"), F.col("cik"), F.lit("/"))
+    number = F.col("accessionNumber")
+    kind = F.when(F.col("o_orderstatus") == "O", F.lit("XBRL Instance")).when(
+        F.col("o_orderstatus") == "F", F.lit("Graphic")
+    ).otherwise("Schema.XML")
+    html = F.concat(
+        F.lit('<html><body><table summary="Document Format Files"><tr><th>Type</th></tr><tr><td> '),
+        kind, F.lit('</td><td>data</td><td><a href="'), folder, number,
+        F.lit('.xml">file</a></td></tr><tr><td>XML</td><td>two cells</td></tr>'
+              '<tr><td>xml remote</td><td>x</td><td><a href="https://example.com/'), number,
+        F.lit('.xml">r</a> <a href="/second.xml">s</a></td></tr>'
+              '<tr><td>xml without link</td><td>x</td><td>none</td></tr></table>'
+              '<table summary="Other"><tr><td>xml</td><td>x</td><td><a href="/no.xml">n</a></td>'
+              '</tr></table></body></html>'),
+    )
+    return raw_filings(spark, sf).select("accessionNumber", html.alias("html"))
+
+
+def submissions(spark: SparkSession, sf: str) -> DataFrame:
+    """Full submissions: an exhibit, then the page as the 10-K; a part has no body or no text."""
+    page = table(spark, sf, "pages")
+    exhibit = "<SEC-HEADER>x</SEC-HEADER><DOCUMENT><TYPE>EX-99<TEXT>exhibit</TEXT></DOCUMENT>"
+    whole = F.concat(
+        F.lit(exhibit + "<DOCUMENT><TYPE>10-K\n<TEXT>"), F.col("html"), F.lit("</TEXT></DOCUMENT>")
+    )
+    return page.select(
+        "page_id",
+        F.when(F.col("url").contains("?"), whole)
+        .when(F.col("url").contains("#"), F.lit(exhibit))
+        .when(F.col("url").contains("m."), F.lit(""))
+        .otherwise(whole)
+        .alias("raw"),
+    )
+
+
+def content_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Filings and their texts: toxic documents have no text, poor ones failed to load."""
+    texts = filing_texts(spark, sf)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("filing_id"), "lang")
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("filing_id"), "quality", "toxic")
+    raw = F.concat(F.when(F.col("lang") == "en", F.lit("<XBRL>")).otherwise("<html>"), F.lit("x"))
+    described = (
+        texts.join(docs, "filing_id")
+        .join(labels, "filing_id", "left")
+        .select(
+            "filing_id",
+            F.when(F.coalesce("toxic", F.lit(0)) == 0, F.col("text")).alias("text"),
+            raw.alias("raw"),
+            (F.coalesce("quality", F.lit(1)) == 0).alias("failed"),
+        )
+    )
+    return texts.drop("text"), described
+
+
+def tagged_items(spark: SparkSession, sf: str) -> DataFrame:
+    """One value item per customer; the market segment names the tag."""
+    tag = (
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("revenue_total"))
+        .when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("assets_total"))
+        .when(F.col("c_mktsegment") == "MACHINERY", F.lit("net_income"))
+        .when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("eps_basic_total"))
+        .otherwise(F.lit("no_such_tag"))
+    )
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("item_id"),
+        ticker_of(F.col("c_custkey")).alias("ticker"),
+        F.lit(1998).cast("bigint").alias("fy"),
+        tag.alias("original_tag"),
+    )
+
+
+def order_records(spark: SparkSession, sf: str) -> DataFrame:
+    file_name, index = F.col("o_orderpriority"), F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        file_name.alias("file_name"),
+        index.alias("record_index"),
+        F.concat(file_name, F.lit("#"), index.cast("string")).alias("record_id"),
+    )
+
+
+def turn_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations as value items."""
+    record = F.concat(F.lit("c#"), F.col("conv_id").cast("string"))
+    return table(spark, sf, "conversations").select(
+        F.concat(record, F.lit("#"), F.col("turn").cast("string")).alias("item_id"),
+        record.alias("record_id"),
+        F.col("turn").alias("item_index"),
+        F.col("role").alias("original_tag"),
+        F.col("text").alias("original_value"),
+    )
+
+
+def document_items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("item_id"),
+        F.col("source").alias("original_tag"),
+        F.col("lang").alias("original_value"),
+    )
+
+
+def label_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("item_id"),
+        F.when(F.col("quality") == 1, F.lit("good")).alias("annotated_value"),
+        F.when(F.col("toxic") == 1, F.lit("toxic")).alias("annotation_comment"),
+        F.when(F.col("quality") == 1, F.lit("verified")).otherwise("annotated").alias("status"),
+    )

@@ -23,7 +23,8 @@ LINES = """lines AS (
          'T' || lpad(CAST(o.o_custkey AS VARCHAR), 6, '0') AS ticker,
          lpad(CAST(l.l_linenumber AS VARCHAR), 2, '0') || '-'
            || lpad(CAST(l.l_partkey AS VARCHAR), 12, '0') || '-'
-           || lpad(CAST(l.l_suppkey AS VARCHAR), 12, '0') AS lid
+           || lpad(CAST(l.l_suppkey AS VARCHAR), 12, '0') || '-'
+           || lpad(CAST(CAST(l.l_extendedprice AS DECIMAL(18, 2)) AS VARCHAR), 12, '0') AS lid
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
 
 FACTS = f"""{LINES}, facts AS (

@@ -20,6 +20,7 @@ from factloom.functions.text import (
 from factloom.operators.align import align, first_per_key, stack_aligned
 from factloom.operators.universe import lookup_cik
 from factloom.schemas import FILINGS, RAW_FILING
+from factloom.sources.html import index_rows
 
 
 def rows_from_columnar(df: DataFrame, arrays: str, keep: list[str]) -> DataFrame:
@@ -194,6 +195,16 @@ def absolute_url(href: Column) -> Column:
     return F.when(href.startswith("/"), F.concat(F.lit(SITE_URL), href)).otherwise(href)
 
 
+def xbrl_links(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Links of an index page whose row speaks of XML or XBRL, in page order."""
+    keep = [c for c in pages.columns if c != html]
+    rows = pages.select(*keep, F.posexplode(index_rows(F.col(html))).alias("place", "row"))
+    label, href = F.col("row.label"), F.col("row.href")
+    return rows.filter((label.contains("xml") | label.contains("xbrl")) & present(href)).select(
+        *keep, "place", absolute_url(href).alias("url")
+    )
+
+
 def filings_per_ticker(filings: DataFrame, page_size: int = 1000) -> DataFrame:
     """The filings of a ticker as lists of records in date order.
 

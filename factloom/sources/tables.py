@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from factloom.operators.align import align
 
 FORMATS = ("delta", "parquet", "csv")
+EMPTY_MARK = "\x01"
 
 
 def _check(fmt: str) -> str:
@@ -43,9 +44,10 @@ def scan_table(
     fmt = _check(fmt) if fmt else format_of(path)
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
-        # Read as text and cast afterwards, so a bad value is null and not an error.
-        df = reader.load(path)
+        # Read as text and cast afterwards, so a bad value is null and not an error. A quoted
+        # empty text is marked, as the reader would otherwise take it for a missing one.
+        df = reader.option("header", True).option("emptyValue", EMPTY_MARK).load(path)
+        df = df.replace(EMPTY_MARK, "")
         return align(df, schema) if schema else df
     if schema is not None and fmt != "delta":
         reader = reader.schema(schema)
