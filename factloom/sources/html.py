@@ -6,9 +6,10 @@ sections, fact matching, typing and joins are left to Spark.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 import pyarrow as pa
@@ -31,29 +32,62 @@ VOID = {
 PREFIXED_FACTS = {"ix:nonfraction", "ix:nonnumeric"}
 BARE_FACTS = {"nonfraction", "nonnumeric"}
 
-FACT_FIELDS = (
-    "name", "fact_id", "context_ref", "unit_ref", "decimals", "precision", "scale", "sign",
-    "format",
-)
+# Tags that define contexts and units, by local name (fixed values).
+MEMBERS = {"explicitmember", "typedmember"}
+DEFINITIONS = {"context", "unit", *MEMBERS}
+
+# Columns of a fact tag and the attributes they come from (fixed values).
+FACT_ATTRIBUTES = {
+    "name": "name",
+    "fact_id": "id",
+    "context_ref": "contextref",
+    "unit_ref": "unitref",
+    "decimals": "decimals",
+    "precision": "precision",
+    "scale": "scale",
+    "sign": "sign",
+    "format": "format",
+}
 RESOLVED_FIELDS = ("schema_url", "unit", "entity", "scenario", "instant", "start", "end")
 
 PART_SCHEMA = (
     "pos int, end_pos int, kind string, reached boolean, tag string, text string, "
-    + ", ".join(f"{f} string" for f in FACT_FIELDS)
+    + ", ".join(f"{f} string" for f in FACT_ATTRIBUTES)
     + ", "
     + ", ".join(f"`{f}` string" for f in RESOLVED_FIELDS)
 )
-PART_COLUMNS = ["pos", "end_pos", "kind", "reached", "tag", "text", *FACT_FIELDS, *RESOLVED_FIELDS]
+ROWS_PER_BATCH = 4096
+PART_COLUMNS = ["pos", "end_pos", "kind", "reached", "tag", "text", *FACT_ATTRIBUTES, *RESOLVED_FIELDS]
+
+
+_TOKEN = re.compile(
+    r"""
+    <!--.*?--!?>                                                     # comment
+  | <(?:!(?!--)|\?)[^>]*>                                             # declaration
+  | </(?P<end>[a-zA-Z][^\s/>]*)[^>]*>                                # end tag
+  | </[^a-zA-Z][^>]*>                                                # junk
+  | <(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?)*+)>
+    """,
+    re.DOTALL | re.VERBOSE,
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style")}
 
 
-class _NodeReader(HTMLParser):
-    """Joins character data into whole text nodes, which end at any tag or comment."""
+def _attributes(source: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; the first of equal ones stands."""
+    given: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(source):
+        if value[:1] in ("'", '"') and value[-1:] == value[0]:
+            value = value[1:-1]
+        given.setdefault(name.lower(), unescape(value))
+    return given
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self._data: list[str] = []
 
-    def open_tag(self, tag: str, attrs: dict[str, str]) -> None:
+class _NodeReader:
+    """Reads a document as tags and text nodes; a text node ends at any tag or comment."""
+
+    def open_tag(self, tag: str, attrs: str) -> None:
         raise NotImplementedError
 
     def close_tag(self, tag: str) -> None:
@@ -62,36 +96,30 @@ class _NodeReader(HTMLParser):
     def text_node(self, data: str) -> None:
         raise NotImplementedError
 
-    def handle_data(self, data):
-        self._data.append(data)
-
-    def flush(self):
-        if self._data:
-            data, self._data = "".join(self._data), []
-            self.text_node(data)
-
-    def handle_starttag(self, tag, attrs):
-        self.flush()
-        self.open_tag(tag, {k: v or "" for k, v in attrs})
-
-    def handle_endtag(self, tag):
-        self.flush()
-        self.close_tag(tag)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.close_tag(tag)
-
-    def handle_comment(self, data):
-        self.flush()
-
-    handle_decl = handle_pi = unknown_decl = handle_comment
-
     def read(self, html: str):
-        self.feed(html)
-        self.close()
-        self.flush()
+        at, size = 0, len(html)
+        while at < size:
+            token = _TOKEN.search(html, at)
+            upto = token.start() if token else size
+            if upto > at:
+                data = html[at:upto]
+                self.text_node(unescape(data) if "&" in data else data)
+            if not token:
+                break
+            at = token.end()
+            kind = token.lastgroup
+            if kind == "end":
+                self.close_tag(token["end"].lower())
+            elif kind == "attrs":
+                tag, attrs = token["start"].lower(), token["attrs"]
+                self.open_tag(tag, attrs)
+                if attrs.endswith("/"):
+                    if tag not in VOID:
+                        self.close_tag(tag)
+                elif tag in _RAW_END:
+                    # The content of scripts and styles is never shown.
+                    end = _RAW_END[tag].search(html, at)
+                    at = end.start() if end else size
         return self
 
 
@@ -99,98 +127,98 @@ class _PartReader(_NodeReader):
     """Collects headings, texts, fact tags, contexts and units in document order."""
 
     def __init__(self, fact_tags: set[str]):
-        super().__init__()
         self.fact_tags = fact_tags
         self.rows: list[dict] = []
         self.open: list[tuple[str, dict | None]] = []
+        self.count: dict[str, int] = {}
+        self.collecting: list[dict] = []
         self.in_body = False
+        self.headings = 0
         self.definition: dict | None = None
         self.contexts: dict[str, dict] = {}
         self.units: dict[str, list[str]] = {}
         self.namespaces: dict[str, str] = {}
 
-    def open_tag(self, tag, given):
-        for key, value in given.items():
-            if key.startswith("xmlns:"):
-                self.namespaces.setdefault(key[6:], value)
-        if tag == "body" or (
-            not self.in_body and tag not in HEAD_ONLY and not self._inside({"head"})
+    def open_tag(self, tag, attrs):
+        is_heading, is_fact = tag in HEADINGS, tag in self.fact_tags
+        local = tag.rpartition(":")[2]
+        given: dict[str, str] = {}
+        if is_fact or local in DEFINITIONS or "xmlns:" in attrs:
+            given = _attributes(attrs)
+            for key, value in given.items():
+                if key.startswith("xmlns:"):
+                    self.namespaces.setdefault(key[6:], value)
+        if not self.in_body and (
+            tag == "body" or tag not in HEAD_ONLY and not self.count.get("head")
         ):
             self.in_body = True
         row = None
-        if tag in HEADINGS and self.in_body or tag in self.fact_tags:
+        if is_heading and self.in_body or is_fact:
             row = {
-                "kind": "heading" if tag in HEADINGS else "fact",
+                "kind": "fact" if is_fact else "heading",
                 "tag": tag,
-                "reached": self.in_body and not self._inside(HEADINGS) and not self._inside(HIDDEN),
+                "reached": self.in_body and not self.headings and not self.count.get("template"),
                 "pos": len(self.rows),
                 "text": [],
             }
-            if row["kind"] == "fact":
-                row.update(
-                    name=given.get("name"),
-                    fact_id=given.get("id") or None,
-                    context_ref=given.get("contextref"),
-                    unit_ref=given.get("unitref"),
-                    decimals=given.get("decimals"),
-                    precision=given.get("precision"),
-                    scale=given.get("scale"),
-                    sign=given.get("sign"),
-                    format=given.get("format"),
-                )
+            if is_fact:
+                row.update((field, given.get(name)) for field, name in FACT_ATTRIBUTES.items())
+                row["fact_id"] = row["fact_id"] or None
             self.rows.append(row)
-        local = tag.rpartition(":")[2]
+            self.collecting.append(row)
         if local == "context":
             self.definition = self.contexts.setdefault(given.get("id", ""), {})
         elif local == "unit":
             self.units.setdefault(given.get("id", ""), [])
             self.definition = {"unit": given.get("id", "")}
-        elif local in ("explicitmember", "typedmember") and self.definition is not None:
+        elif local in MEMBERS and self.definition is not None:
             self.definition.setdefault("axes", []).append(given.get("dimension", ""))
         if tag not in VOID:
             self.open.append((tag, row))
+            self.count[tag] = self.count.get(tag, 0) + 1
+            self.headings += is_heading
 
     def close_tag(self, tag):
-        if not any(name == tag for name, _ in self.open):
+        if not self.count.get(tag):
             return
-        while self.open:
+        name = ""
+        while name != tag:
             name, row = self.open.pop()
+            self.count[name] -= 1
+            self.headings -= name in HEADINGS
             if row is not None:
                 row["end_pos"] = len(self.rows) - 1
+                self.collecting.remove(row)
             if name.rpartition(":")[2] in ("context", "unit"):
                 self.definition = None
-            if name == tag:
-                break
 
     def text_node(self, data):
-        parent = self.open[-1][0] if self.open else ""
-        if self._inside(HIDDEN):
+        text = data.strip()
+        if self.count.get("template"):
             return
+        parent = self.open[-1][0] if self.open else ""
         if self.definition is not None:
-            self._define(parent.rpartition(":")[2], data.strip())
-        for name, row in self.open:
-            if row is not None:
-                row["text"].append(data.strip() if row["kind"] == "heading" else data)
-        text = data.strip()
+            self._define(parent.rpartition(":")[2], text)
+        for row in self.collecting:
+            row["text"].append(text if row["kind"] == "heading" else data)
         if not text:
             return
-        if not self.in_body and not self._inside(HEAD_ONLY - {"html"}):
+        if not self.in_body and not self.count.get("head") and parent in ("", "html"):
             self.in_body = True
-        if self.in_body and parent not in PREFIXED_FACTS and not self._inside(HEADINGS):
+        if self.in_body and not self.headings and parent not in PREFIXED_FACTS:
             self.rows.append(
                 {"kind": "text", "reached": True, "pos": len(self.rows), "text": [text]}
             )
 
-    def _inside(self, tags: set[str]) -> bool:
-        return any(name in tags for name, _ in self.open)
-
     def _define(self, local: str, text: str) -> None:
+        if not text:
+            return
         if "unit" in self.definition:
-            if local == "measure" and text:
+            if local == "measure":
                 self.units[self.definition["unit"]].append(text)
-        elif local in ("identifier", "instant", "startdate", "enddate") and text:
+        elif local in ("identifier", "instant", "startdate", "enddate"):
             self.definition[local] = text
-        elif self.definition.get("axes") and local in ("explicitmember", "typedmember") and text:
+        elif local in MEMBERS:
             self.definition.setdefault("members", []).append(text)
 
     def finish(self) -> list[dict]:
@@ -243,17 +271,28 @@ def document_parts(pages: DataFrame, filing_id: str = "filing_id", html: str = "
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             schema = _part_arrow(batch.schema.field("filing_id"))
-            for key, source in zip(batch["filing_id"], batch["html"]):
+            keys: list = []
+            columns: list[list] = [[] for _ in PART_COLUMNS]
+            for key, source in zip(batch["filing_id"].to_pylist(), batch["html"]):
                 rows = read_parts(source.as_py() or "")
-                columns = {c: [r.get(c) for r in rows] for c in PART_COLUMNS}
-                columns["filing_id"] = [key.as_py()] * len(rows)
-                yield pa.RecordBatch.from_pydict(columns, schema=schema)
+                keys += [key] * len(rows)
+                for name, column in zip(PART_COLUMNS, columns):
+                    column += [row.get(name) for row in rows]
+                if len(keys) >= ROWS_PER_BATCH:
+                    yield pa.RecordBatch.from_arrays(_arrays(schema, [keys, *columns]), schema=schema)
+                    keys, columns = [], [[] for _ in PART_COLUMNS]
+            if keys:
+                yield pa.RecordBatch.from_arrays(_arrays(schema, [keys, *columns]), schema=schema)
 
     return pages.select(F.col(filing_id).alias("filing_id"), F.col(html).alias("html")).mapInArrow(
         parse, f"filing_id {key_type}, {PART_SCHEMA}"
     )
 
 
+def _arrays(schema: pa.Schema, columns: list[list]) -> list[pa.Array]:
+    return [pa.array(column, type=field.type) for field, column in zip(schema, columns)]
+
+
 def _part_arrow(key: pa.Field) -> pa.Schema:
     kinds = {"pos": pa.int32(), "end_pos": pa.int32(), "reached": pa.bool_()}
     return pa.schema([key, *[(c, kinds.get(c, pa.string())) for c in PART_COLUMNS]])
@@ -263,11 +302,10 @@ class _TextReader(_NodeReader):
     """Collects the visible strings of a document."""
 
     def __init__(self):
-        super().__init__()
         self.strings: list[str] = []
         self.hidden = 0
 
-    def open_tag(self, tag, given):
+    def open_tag(self, tag, attrs):
         self.hidden += tag in HIDDEN
 
     def close_tag(self, tag):
@@ -312,16 +350,16 @@ class _TableReader(_NodeReader):
     """Rows of the document table of an index page: first cell text, third cell link."""
 
     def __init__(self, summary: str):
-        super().__init__()
         self.summary = summary
         self.state = "before"
         self.cells: list[dict] = []
         self.in_cell = False
         self.rows: list[dict] = []
 
-    def open_tag(self, tag, given):
-        if tag == "table" and self.state == "before" and given.get("summary") == self.summary:
-            self.state = "inside"
+    def open_tag(self, tag, attrs):
+        if tag == "table" and self.state == "before":
+            if _attributes(attrs).get("summary") == self.summary:
+                self.state = "inside"
         elif self.state != "inside":
             return
         elif tag == "tr":
@@ -330,7 +368,7 @@ class _TableReader(_NodeReader):
             self.cells.append({"text": "", "links": []})
             self.in_cell = True
         elif tag == "a" and self.in_cell:
-            self.cells[-1]["links"].append(given.get("href"))
+            self.cells[-1]["links"].append(_attributes(attrs).get("href"))
 
     def close_tag(self, tag):
         if self.state != "inside":
