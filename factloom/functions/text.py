@@ -17,6 +17,15 @@ _FLOAT = rf"(?i)^[+-]?(({_DIGITS}\.?|({_DIGITS})?\.{_DIGITS})(e[+-]?{_DIGITS})?|
 _INT = rf"^[+-]?{_DIGITS}$"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A lambda repeats every expression that its body mentions for each element;
+    a value bound as a lambda variable is computed only when it is bound.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Drop white space of every kind at both ends; ``trim`` knows only the blank."""
     return F.btrim(c, F.lit(WHITE_SPACE))

@@ -77,11 +77,14 @@ def latest_metrics(
     )
 
 
-def derived_metrics(latest: DataFrame) -> DataFrame:
-    """Equity and net margin per filing, where both inputs exist and are numbers.
+DERIVED_INPUTS = ["Assets", "Liabilities", "NetIncomeLoss", "Revenue"]
+
+
+def derived_inputs() -> list[Column]:
+    """Aggregates that bring the inputs of one filing side by side.
 
-    Reads the output of :func:`latest_metrics`: at most one row per filing and
-    metric, folded into one row per filing.
+    They read the output of :func:`latest_metrics`, which has at most one row
+    per filing and metric.
     """
 
     def pick(name: str) -> Column:
@@ -89,13 +92,26 @@ def derived_metrics(latest: DataFrame) -> DataFrame:
         fields = F.struct(number, "unit", "period_start", "period_end")
         return F.max(F.when(F.col("metric") == name, fields)).alias(name)
 
-    inputs = ["Assets", "Liabilities", "NetIncomeLoss", "Revenue"]
+    return [pick(name) for name in DERIVED_INPUTS]
+
+
+def derived_equity() -> Column:
+    return F.col("Assets.number") - F.col("Liabilities.number")
+
+
+def derived_margin() -> Column:
+    """Net income in percent of revenue; 0 when revenue is 0."""
+    income, revenue = F.col("NetIncomeLoss.number"), F.col("Revenue.number")
+    share = F.when(revenue == 0, F.lit(0.0)).otherwise(F.try_divide(income, revenue) * 100)
+    return F.when(income.isNotNull(), share)
+
+
+def derived_metrics(latest: DataFrame) -> DataFrame:
+    """Equity and net margin per filing, where both inputs exist and are numbers."""
     wide = (
-        latest.filter(F.col("metric").isin(inputs)).groupBy("filing_id").agg(*map(pick, inputs))
-    )
-    assets, revenue = F.col("Assets.number"), F.col("Revenue.number")
-    margin = F.when(revenue == 0, F.lit(0.0)).otherwise(
-        F.try_divide(F.col("NetIncomeLoss.number"), revenue) * 100
+        latest.filter(F.col("metric").isin(DERIVED_INPUTS))
+        .groupBy("filing_id")
+        .agg(*derived_inputs())
     )
 
     def row(name: str, value: Column, unit: Column, source: str):
@@ -108,13 +124,8 @@ def derived_metrics(latest: DataFrame) -> DataFrame:
         )
 
     both = F.array(
-        row("DerivedEquity", assets - F.col("Liabilities.number"), F.col("Assets.unit"), "Assets"),
-        row(
-            "DerivedNetMargin",
-            F.when(F.col("NetIncomeLoss.number").isNotNull(), margin),
-            F.lit("%"),
-            "Revenue",
-        ),
+        row("DerivedEquity", derived_equity(), F.col("Assets.unit"), "Assets"),
+        row("DerivedNetMargin", derived_margin(), F.lit("%"), "Revenue"),
     )
     return wide.select("filing_id", F.inline(both)).filter(F.col("value").isNotNull())
 

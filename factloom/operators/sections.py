@@ -16,19 +16,16 @@ from factloom.constants import (
     WINDOW_OVERLAP,
     WINDOW_SIZE,
 )
-from factloom.functions.text import is_blank, present, slug, strip
+from factloom.functions.text import is_blank, let, present, slug, strip
 from factloom.sources.html import visible_text
 
 # Dot matches all, case is ignored, white space includes the no-break space, and only \n ends a line.
 _FLAGS = "(?isUd)"
 
-SECTION_TYPE = "array<struct<section:string,section_name:string,content:string>>"
-
 
 def _span(text: Column, heading: str, end: str) -> Column:
     """From the first heading to the nearest end marker after it; null when absent."""
-    found = F.regexp_extract(text, f"{_FLAGS}{heading}.+?{end}", 0)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, f"{_FLAGS}{heading}.+?{end}", 0), F.lit(""))
 
 
 def _entry(section: Column, name: Column, content: Column) -> Column:
@@ -58,10 +55,29 @@ def notes_of(footnotes: Column) -> Column:
             strip(n["content"]).alias("content"),
         ),
     )
-    ids = F.array_distinct(F.transform(found, lambda n: n["id"]))
-    return F.transform(
-        ids, lambda i: F.element_at(F.filter(found, lambda n: n["id"] == i), F.lit(-1))
-    )
+
+    def last_of_each(notes: Column) -> Column:
+        ids = F.array_distinct(F.transform(notes, lambda n: n["id"]))
+        return F.transform(
+            ids, lambda i: F.element_at(F.filter(notes, lambda n: n["id"] == i), F.lit(-1))
+        )
+
+    return let(found, last_of_each)
+
+
+def sections_of(text: Column, footnotes: bool = False, segments: bool = False) -> Column:
+    """Array of ``section, section_name, content`` in a fixed order, absent ones left out."""
+    specs = list(SECTION_PATTERNS)
+    if footnotes:
+        specs.append(FOOTNOTES_PATTERN)
+    if segments:
+        specs.append(SEGMENT_PATTERN)
+    return _known(text, specs)
+
+
+def footnotes_of(text: Column) -> Column:
+    _, heading, end, _ = FOOTNOTES_PATTERN
+    return _span(text, heading, end)
 
 
 def extract_sections(
@@ -70,27 +86,21 @@ def extract_sections(
     footnotes: bool = False,
     segments: bool = False,
 ) -> DataFrame:
-    """Named sections of each text, one row each, in a fixed order.
+    """Named sections of each text, one row each: ``section_pos, section, section_name, content``.
 
-    Adds ``section_pos, section, section_name, content``. All patterns run in
-    one pass over the text column; nothing is shuffled.
+    All patterns run in one pass over the text column; nothing is shuffled.
     """
-    specs = list(SECTION_PATTERNS)
-    if footnotes:
-        specs.append(FOOTNOTES_PATTERN)
-    if segments:
-        specs.append(SEGMENT_PATTERN)
     keep = [c for c in texts.columns if c != text]
-    return texts.select(
-        *keep, F.posexplode(_known(F.col(text), specs)).alias("section_pos", "__s")
-    ).select(*keep, "section_pos", "__s.*")
+    found = sections_of(F.col(text), footnotes, segments)
+    return texts.select(*keep, F.posexplode(found).alias("section_pos", "__s")).select(
+        *keep, "section_pos", "__s.*"
+    )
 
 
 def extract_notes(texts: DataFrame, text: str = "text") -> DataFrame:
     """Single notes inside the footnote block: ``note_pos, id, title, content``."""
     keep = [c for c in texts.columns if c != text]
-    _, heading, end, _ = FOOTNOTES_PATTERN
-    blocks = texts.select(*keep, _span(F.col(text), heading, end).alias("__block")).filter(
+    blocks = texts.select(*keep, footnotes_of(F.col(text)).alias("__block")).filter(
         F.col("__block").isNotNull()
     )
     return blocks.select(
@@ -132,32 +142,34 @@ def pack_paragraphs(text: Column, max_size: int = PARAGRAPH_CHUNK) -> Column:
     return F.aggregate(paragraphs, start, add, close)
 
 
-def chunk_sections(
-    sections: DataFrame,
-    content: str = "content",
-    section: str = "section",
-    name: str = "section_name",
-    max_size: int = PARAGRAPH_CHUNK,
-) -> DataFrame:
-    """Chunks of each section with numbered ids and names when there are several."""
-    keep = [c for c in sections.columns if c not in (content, section, name)]
-    cut = sections.withColumn("__chunks", pack_paragraphs(F.col(content), max_size))
-    numbered = cut.select(
-        *keep, section, name, F.size("__chunks").alias("__n"), F.posexplode("__chunks")
-    )
-    number = (F.col("pos") + 1).cast("string")
-    several = F.col("__n") > 1
-    return numbered.select(
-        *keep,
-        F.col("pos").alias("chunk_pos"),
-        F.col("col").alias("text"),
-        F.when(several, F.concat(F.col(section), F.lit("_part_"), number))
-        .otherwise(F.col(section))
-        .alias("section"),
-        F.when(several, F.concat(F.col(name), F.lit(" (Part "), number, F.lit(")")))
-        .otherwise(F.col(name))
-        .alias("section_name"),
-    )
+def chunk_rows(section: Column, max_size: int = PARAGRAPH_CHUNK) -> Column:
+    """Array of ``chunk_pos, text, section, section_name`` for one section struct."""
+
+    def rows(chunks: Column) -> Column:
+        several = F.size(chunks) > 1
+
+        def row(text: Column, i: Column) -> Column:
+            number = (i + 1).cast("string")
+            numbered = F.concat(section["section"], F.lit("_part_"), number)
+            titled = F.concat(section["section_name"], F.lit(" (Part "), number, F.lit(")"))
+            return F.struct(
+                i.alias("chunk_pos"),
+                text.alias("text"),
+                F.when(several, numbered).otherwise(section["section"]).alias("section"),
+                F.when(several, titled).otherwise(section["section_name"]).alias("section_name"),
+            )
+
+        return F.transform(chunks, row)
+
+    return let(pack_paragraphs(section["content"], max_size), rows)
+
+
+def chunk_sections(sections: DataFrame, max_size: int = PARAGRAPH_CHUNK) -> DataFrame:
+    """Chunks of ``section, section_name, content`` rows, numbered when there are several."""
+    named = ("section", "section_name", "content")
+    keep = [c for c in sections.columns if c not in named]
+    whole = F.struct(*named)
+    return sections.select(*keep, F.inline(chunk_rows(whole, max_size)))
 
 
 def windows_of(text: Column, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVERLAP) -> Column:
@@ -171,12 +183,16 @@ def windows_of(text: Column, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVER
         raise ValueError("the overlap must be smaller than the window")
     following = -(-overlap // step)
     blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-    return F.transform(
-        blocks,
-        lambda b, i: F.left(
-            F.array_join(F.slice(blocks, i + 1, F.lit(following + 1)), ""), F.lit(size)
-        ),
-    )
+
+    def joined(parts: Column) -> Column:
+        return F.transform(
+            parts,
+            lambda b, i: F.left(
+                F.array_join(F.slice(parts, i + 1, F.lit(following + 1)), ""), F.lit(size)
+            ),
+        )
+
+    return let(blocks, joined)
 
 
 def window_chunks(
