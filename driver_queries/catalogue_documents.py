@@ -195,7 +195,7 @@ def sections_extract(spark, sf):
 @query
 def footnote_notes(spark, sf):
     texts = A.filing_texts(spark, sf).select("filing_id", "text")
-    return sections.extract_notes(texts).select("filing_id", "note_pos", "id", "title", "content")
+    return sections.extract_notes(texts).select("filing_id", "note_pos", "note_id", "title", "content")
 
 
 @query

@@ -122,6 +122,32 @@ def float_text(c: Column) -> Column:
     return (
         F.when(F.isnan(c), F.lit("nan"))
         .when(size == float("inf"), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((size != 0) & ((size >= 1e16) | (size < 1e-4)), scientific)
+        .when(size == 0, java)
+        .when((size >= 1e16) | (size < 1e-4), scientific)
         .otherwise(plain)
     )
+
+
+def two_decimals(c: Column) -> Column:
+    """A double with two decimals, rounded from its exact binary value, halves to even.
+
+    Only a value whose shortest form ends in a 5 in the third place can differ
+    from rounding the shortest form. There the exact distance of the product
+    with 1000 from the next whole number tells the side; the error that the
+    product made is split off without loss.
+    """
+    split = F.lit(134217729.0)
+    thousand = F.lit(1000.0)
+    product = c * thousand
+    high = c * split - (c * split - c)
+    low = c - high
+    error = (high * thousand - product) + low * thousand
+    nearest = F.rint(product)
+    whole = nearest.cast("decimal(38,0)")
+    off = (product - nearest) + error
+    near = F.abs(product - nearest) <= F.abs(product) * F.lit(1e-15)
+    is_half = near & (F.abs(whole % 10) == 5) & (F.abs(c) < 1e12)
+    floor = F.floor(whole / 10).cast("decimal(38,0)")
+    up = (off > 0) | ((off == 0) & (floor % 2 != 0))
+    exact = ((floor + F.when(up, F.lit(1)).otherwise(F.lit(0))) / 100).cast("decimal(38,2)")
+    return F.when(is_half, exact.cast("string")).otherwise(F.format_string("%.2f", c))

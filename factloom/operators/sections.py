@@ -98,14 +98,14 @@ def extract_sections(
 
 
 def extract_notes(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Single notes inside the footnote block: ``note_pos, id, title, content``."""
+    """Single notes inside the footnote block: ``note_pos, note_id, title, content``."""
     keep = [c for c in texts.columns if c != text]
     blocks = texts.select(*keep, footnotes_of(F.col(text)).alias("__block")).filter(
         F.col("__block").isNotNull()
     )
     return blocks.select(
         *keep, F.posexplode(notes_of(F.col("__block"))).alias("note_pos", "__n")
-    ).select(*keep, "note_pos", "__n.*")
+    ).select(*keep, "note_pos", F.col("__n.id").alias("note_id"), "__n.title", "__n.content")
 
 
 def pack_paragraphs(text: Column, max_size: int = PARAGRAPH_CHUNK) -> Column:
