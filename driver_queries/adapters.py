@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.constants import CANONICAL_TAGS
 from factloom.functions.text import zero_fill
+from factloom.session import spread
 
 CONCEPTS = list(CANONICAL_TAGS)
 FIRST_YEAR, LAST_YEAR = 1995, 2001
@@ -152,9 +153,10 @@ def numeric_facts(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("l_returnflag") == "N", F.lit("ifrs"))
         .otherwise(F.lit("dei"))
     )
-    shipped = F.to_date("l_shipdate")
+    shipped = F.col("ship_date")
     return (
         _lines(spark, sf)
+        .withColumn("ship_date", F.to_date("l_shipdate"))
         .select("*", F.inline(entries))
         .filter(F.col("concept_name").isNotNull())
         .select(
@@ -206,65 +208,79 @@ def instance_facts(spark: SparkSession, sf: str) -> DataFrame:
         .when(status == "O", F.lit("dei"))
         .otherwise(F.lit("acme"))
     )
-    url = F.create_map(*[F.lit(x) for pair in NAMESPACES.items() for x in pair])[F.col("prefix")]
+    url = F.create_map(*[F.lit(x) for pair in NAMESPACES.items() for x in pair])[prefix]
     revenue = F.when(flag == "A", F.lit("Revenue")).when(flag == "N", F.lit("Revenues")).otherwise(
         F.lit("RevenueFromContractWithCustomerExcludingAssessedTax")
     )
-    income = F.concat(F.when(flag == "R", F.lit("-")).otherwise(""), money(F.col("l_quantity")))
+    # Computed once per line, before a line becomes five facts.
+    lines = _lines(spark, sf).select(
+        "l_orderkey",
+        "l_tax",
+        "ticker",
+        "filing_date",
+        "report_date",
+        line_id().alias("place"),
+        prefix.alias("prefix"),
+        url.alias("schema_url"),
+        revenue.alias("revenue_name"),
+        money(F.col("l_extendedprice")).alias("price"),
+        F.concat(F.when(flag == "R", F.lit("-")).otherwise(""), money(F.col("l_quantity"))).alias(
+            "income"
+        ),
+        money(F.col("l_discount")).alias("discount"),
+        F.to_date("l_shipdate").alias("ship_date"),
+    )
 
-    def fact(no: int, concept, value: Column, unit: str, kind: str, instant: bool):
+    def fact(no: int, concept: Column, value: Column, unit: str, kind: str, instant: bool):
         return F.struct(
-            F.lit(no).alias("no"),
-            (F.lit(concept) if isinstance(concept, str) else concept).alias("concept_name"),
+            F.lit(str(no)).alias("no"),
+            concept.alias("concept_name"),
             value.alias("value"),
             F.lit(unit).alias("unit"),
             F.lit(kind).alias("fact_type"),
             F.lit(instant).alias("is_instant"),
         )
 
-    price = money(F.col("l_extendedprice"))
+    usd, price = "iso4217:USD", F.col("price")
+    assets = F.when(F.col("l_tax") > 0, price).otherwise("n/a")
     entries = F.array(
-        fact(1, revenue, price, "iso4217:USD", "NumericFact", False),
-        fact(2, "NetIncomeLoss", income, "iso4217:USD", "NumericFact", False),
-        fact(3, "Assets", F.when(F.col("l_tax") > 0, price).otherwise("n/a"), "iso4217:USD",
-             "NumericFact", True),
-        fact(4, "Liabilities", money(F.col("l_discount")), "iso4217:USD", "NumericFact", True),
-        fact(5, "DocumentType", F.lit("10-K"), "", "TextFact", False),
-    )
-    shipped = F.to_date("l_shipdate")
-    return (
-        _lines(spark, sf)
-        .select("*", prefix.alias("prefix"), F.inline(entries))
-        .select(
-            F.col("l_orderkey").alias("filing_id"),
-            F.concat(line_id(), F.lit("-"), F.col("no").cast("string")).alias("fact_id"),
-            F.concat(line_id(), F.lit("-"), F.col("no").cast("string")).alias("pos"),
-            "concept_name",
-            "prefix",
-            url.alias("schema_url"),
-            "fact_type",
-            "value",
-            "unit",
-            F.when(F.col("is_instant"), F.lit("INF")).otherwise("2").alias("decimals"),
-            F.lit(None).cast("string").alias("precision"),
-            F.concat(line_id(), F.when(F.col("is_instant"), "i").otherwise("d")).alias("context_ref"),
-            F.when(F.col("is_instant"), shipped).alias("period_instant"),
-            F.when(~F.col("is_instant"), F.col("filing_date")).alias("period_start"),
-            F.when(~F.col("is_instant"), shipped).alias("period_end"),
-            F.lit(None).cast("string").alias("context_id"),
-            F.lit(None).cast("string").alias("context_entity"),
-            F.lit(None).cast("string").alias("context_scenario"),
-            "ticker",
-            "filing_date",
-            "report_date",
-        )
+        fact(1, F.col("revenue_name"), price, usd, "NumericFact", False),
+        fact(2, F.lit("NetIncomeLoss"), F.col("income"), usd, "NumericFact", False),
+        fact(3, F.lit("Assets"), assets, usd, "NumericFact", True),
+        fact(4, F.lit("Liabilities"), F.col("discount"), usd, "NumericFact", True),
+        fact(5, F.lit("DocumentType"), F.lit("10-K"), "", "TextFact", False),
+    )
+    none = F.lit(None).cast("string")
+    place, is_instant, shipped = F.col("place"), F.col("is_instant"), F.col("ship_date")
+    return lines.select("*", F.inline(entries)).select(
+        F.col("l_orderkey").alias("filing_id"),
+        F.concat(place, F.lit("-"), F.col("no")).alias("fact_id"),
+        F.concat(place, F.lit("-"), F.col("no")).alias("pos"),
+        "concept_name",
+        "prefix",
+        "schema_url",
+        "fact_type",
+        "value",
+        "unit",
+        F.when(is_instant, F.lit("INF")).otherwise("2").alias("decimals"),
+        none.alias("precision"),
+        F.concat(place, F.when(is_instant, F.lit("i")).otherwise("d")).alias("context_ref"),
+        F.when(is_instant, shipped).alias("period_instant"),
+        F.when(~is_instant, F.col("filing_date")).alias("period_start"),
+        F.when(~is_instant, shipped).alias("period_end"),
+        none.alias("context_id"),
+        none.alias("context_entity"),
+        none.alias("context_scenario"),
+        "ticker",
+        "filing_date",
+        "report_date",
     )
 
 
 def contexts(spark: SparkSession, sf: str) -> DataFrame:
     """An instant and a time frame per line; lines of status O carry a scenario."""
-    shipped = F.date_format("l_shipdate", "yyyy-MM-dd")
-    begun = F.date_format("filing_date", "yyyy-MM-dd")
+    shipped = F.to_date("l_shipdate").cast("string")
+    begun = F.col("filing_date").cast("string")
     none = F.lit(None).cast("string")
     entries = F.array(
         F.struct(
@@ -299,14 +315,13 @@ def filing_pages(spark: SparkSession, sf: str) -> DataFrame:
     A line has a heading, a sentence, a price tag, and a note that wraps a
     bold text and a discount tag.
     """
-    key = F.col("l_orderkey").cast("string")
-    fid = F.concat(F.lit("f"), key, F.lit("-"), line_id())
+    fid = F.col("fid")
     context = F.concat(
         F.lit('<xbrli:context id="c-'), fid,
         F.lit('"><xbrli:entity><xbrli:identifier scheme="s">'), F.col("ticker"),
         F.lit("</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>"),
-        F.date_format("filing_date", "yyyy-MM-dd"),
-        F.lit("</xbrli:startDate><xbrli:endDate>"), F.date_format("l_shipdate", "yyyy-MM-dd"),
+        F.col("filing_date").cast("string"), F.lit("</xbrli:startDate><xbrli:endDate>"),
+        F.to_date("l_shipdate").cast("string"),
         F.lit("</xbrli:endDate></xbrli:period></xbrli:context>"),
     )
     part = F.col("l_partkey").cast("string")
@@ -330,9 +345,11 @@ def filing_pages(spark: SparkSession, sf: str) -> DataFrame:
         _lines(spark, sf)
         .withColumn("filing_id", F.col("l_orderkey"))
         .repartition(tasks, "filing_id")
+        .withColumn("place", line_id())
+        .withColumn("fid", F.concat(F.lit("f"), F.col("filing_id").cast("string"), F.lit("-"), "place"))
         .select(
             "filing_id",
-            line_id().alias("place"),
+            "place",
             context.alias("context"),
             body.alias("body"),
         )
@@ -370,7 +387,7 @@ def known_facts(spark: SparkSession, sf: str) -> DataFrame:
     Prices of untaxed lines and notes of open lines are unknown; returned lines
     know their price under another concept.
     """
-    fid = F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit("-"), line_id())
+    fid = F.col("fid")
     price = F.when(F.col("l_returnflag") == "R", F.lit("SalesRevenueNet")).otherwise("Revenues")
 
     def fact(suffix: str, known: Column, concept, kind: str, value: Column, unit):
@@ -390,8 +407,10 @@ def known_facts(spark: SparkSession, sf: str) -> DataFrame:
         fact("-s", F.col("l_linestatus") == "F", "ShippingNote", "TextFact", note, None),
         fact("-d", F.lit(True), "Discount", "NumericFact", money(F.col("l_discount")), "pure"),
     )
+    key = F.col("l_orderkey").cast("string")
     return (
         _lines(spark, sf)
+        .withColumn("fid", F.concat(F.lit("f"), key, F.lit("-"), line_id()))
         .select("*", F.inline(entries))
         .filter(F.col("fact_id").isNotNull())
         .select(
@@ -433,7 +452,7 @@ def filing_texts(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(".\n\nSignatures\n\nItem 9. None\n\nSegment Results of "), F.col("source"),
         F.lit(" on 12 Table of Contents"),
     )
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("filing_id"),
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("ticker"),
         F.lit("10-K").alias("form"),
@@ -525,7 +544,7 @@ def index_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def submissions(spark: SparkSession, sf: str) -> DataFrame:
     """Full submissions: an exhibit, then the page as the 10-K; a part has no body or no text."""
-    page = table(spark, sf, "pages")
+    page = spread(table(spark, sf, "pages"))
     exhibit = "<SEC-HEADER>x</SEC-HEADER><DOCUMENT><TYPE>EX-99<TEXT>exhibit</TEXT></DOCUMENT>"
     whole = F.concat(
         F.lit(exhibit + "<DOCUMENT><TYPE>10-K\n<TEXT>"), F.col("html"), F.lit("</TEXT></DOCUMENT>")

@@ -26,9 +26,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _ends_blank(c: Column) -> Column:
+    """The first or last character is white space, or there is none."""
+    white = F.lit(WHITE_SPACE)
+    return white.contains(F.left(c, F.lit(1))) | white.contains(F.right(c, F.lit(1)))
+
+
 def strip(c: Column) -> Column:
-    """Drop white space of every kind at both ends; ``trim`` knows only the blank."""
-    return F.btrim(c, F.lit(WHITE_SPACE))
+    """Drop white space of every kind at both ends; ``trim`` knows only the blank.
+
+    Trimming by a set of characters is slow, so it is left to texts that need it.
+    """
+    return F.when(_ends_blank(c), F.btrim(c, F.lit(WHITE_SPACE))).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:
@@ -62,18 +71,30 @@ def parse_two_formats(c: Column) -> Column:
     return F.coalesce(parse_date(c), parse_date(c, "M/d/yyyy"))
 
 
+def _without_digits(c: Column) -> Column:
+    return F.translate(c, "0123456789", "")
+
+
 def float_or_null(c: Column) -> Column:
     """A decimal number as text to double.
 
-    The pattern guards the cast, which would also accept a trailing d or f.
+    The cast alone would also take a trailing d or f and hexadecimal digits,
+    and would refuse underscores; a cast that fails is slow besides. Digits
+    with a sign and a point go to the cast, anything else is tested against
+    the full pattern first.
     """
     s = strip(c)
-    return F.when(s.rlike(_FLOAT), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+    odd = F.when(s.rlike(_FLOAT), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+    plain = _without_digits(c).isin("", ".", "-", "-.", "+", "+.") & (c != "")
+    return F.when(plain, c.try_cast("double")).otherwise(odd)
 
 
 def int_or_null(c: Column) -> Column:
+    """A whole number as text to bigint, with the same care."""
     s = strip(c)
-    return F.when(s.rlike(_INT), F.replace(s, F.lit("_"), F.lit("")).try_cast("bigint"))
+    odd = F.when(s.rlike(_INT), F.replace(s, F.lit("_"), F.lit("")).try_cast("bigint"))
+    plain = _without_digits(c).isin("", "-", "+") & (c != "")
+    return F.when(plain, c.try_cast("bigint")).when(c.contains("_") | _ends_blank(c), odd)
 
 
 def zero_fill(c: Column, width: int = 10) -> Column:

@@ -34,16 +34,16 @@ def distinct_filings(facts: DataFrame) -> DataFrame:
 def concept_coverage(facts: DataFrame) -> DataFrame:
     """Distinct filings per concept.
 
-    The key is date and ticker joined by an underscore; all rows whose key is
-    null count as one more filing. The distinct step shuffles on concept and
-    key together, so one dominant concept is spread over all tasks.
+    A filing is a date with a ticker; all rows of a concept that lack one of
+    them count as one more filing. The distinct step shuffles on concept, date
+    and ticker together, so one dominant concept is spread over all tasks.
     """
-    key = F.concat(F.col("filing_date").cast("string"), F.lit("_"), F.col("ticker"))
+    known = F.col("filing_date").isNotNull() & F.col("ticker").isNotNull()
     return (
-        facts.select("concept_name", F.coalesce(key, F.lit("")).alias("filing_key"))
+        facts.select("concept_name", "filing_date", "ticker")
         .distinct()
         .groupBy("concept_name")
-        .agg(F.count(F.lit(1)).alias("num_filings"))
+        .agg((F.count_if(known) + F.max((~known).cast("bigint"))).alias("num_filings"))
     )
 
 

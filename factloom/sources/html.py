@@ -66,12 +66,13 @@ _TOKEN = re.compile(
   | <(?:!(?!--)|\?)[^>]*>                                             # declaration
   | </(?P<end>[a-zA-Z][^\s/>]*)[^>]*>                                # end tag
   | </[^a-zA-Z][^>]*>                                                # junk
+  | <(?P<raw>(?i:script|style))(?=[\s>])[^>]*(?<!/)>                  # hidden content
+      (?:.*?(?=</(?i:(?P=raw))[\s/>])|.*)
   | <(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?)*+)>
     """,
     re.DOTALL | re.VERBOSE,
 )
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style")}
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -97,29 +98,24 @@ class _NodeReader:
         raise NotImplementedError
 
     def read(self, html: str):
-        at, size = 0, len(html)
-        while at < size:
-            token = _TOKEN.search(html, at)
-            upto = token.start() if token else size
-            if upto > at:
-                data = html[at:upto]
+        at = 0
+        for token in _TOKEN.finditer(html):
+            start = token.start()
+            if start > at:
+                data = html[at:start]
                 self.text_node(unescape(data) if "&" in data else data)
-            if not token:
-                break
             at = token.end()
             kind = token.lastgroup
-            if kind == "end":
-                self.close_tag(token["end"].lower())
-            elif kind == "attrs":
-                tag, attrs = token["start"].lower(), token["attrs"]
+            if kind == "attrs":
+                _, _, tag, attrs = token.groups()
+                tag = tag.lower()
                 self.open_tag(tag, attrs)
-                if attrs.endswith("/"):
-                    if tag not in VOID:
-                        self.close_tag(tag)
-                elif tag in _RAW_END:
-                    # The content of scripts and styles is never shown.
-                    end = _RAW_END[tag].search(html, at)
-                    at = end.start() if end else size
+                if attrs[-1:] == "/" and tag not in VOID:
+                    self.close_tag(tag)
+            elif kind == "end":
+                self.close_tag(token["end"].lower())
+        if at < len(html):
+            self.text_node(unescape(html[at:]))
         return self
 
 
