@@ -114,7 +114,9 @@ def annotation_stream(spark, sf):
     for early in (True, False):
         kinds = F.col("annotation_comment").isin("view", "signup", "click")
         chosen = events.filter(kinds if early else ~kinds).drop("event_id")
-        chosen.write.mode("append").json(source)
+        # The default text form of a time stops at milliseconds.
+        micros = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+        chosen.write.mode("append").options(**micros).json(source)
         absorb_saves(spark, source, target, log).awaitTermination()
     taken = spark.read.parquet(target)
     state = annotations.latest_state(taken, "item_id", F.col("updated_at").desc())
@@ -225,16 +227,29 @@ def knn_batch(spark, sf):
     return _rounded(found, "query_id", "id", "rank")
 
 
-@query
-def ann_search(spark, sf):
+def _cells(spark, sf):
     indexed, centres = vectors.assign_cells(A.vectors(spark, sf))
     path = scratch_path(spark, "cells")
     indexed.write.partitionBy("cell").parquet(path)
-    stored = spark.read.parquet(path)
+    return spark.read.parquet(path), centres
+
+
+@query
+def ann_search(spark, sf):
+    stored, centres = _cells(spark, sf)
     found = vectors.search_cells(stored, centres, _label_centres(spark, sf), probes=8)
     return _rounded(found, "query_id", "id", "rank")
 
 
+@query
+def ann_search_all_cells(spark, sf):
+    """Probing every cell must give the exact neighbours."""
+    stored, centres = _cells(spark, sf)
+    queries = _label_centres(spark, sf)
+    found = vectors.search_cells(stored, centres, queries, probes=len(centres))
+    return _rounded(found, "query_id", "id", "rank")
+
+
 @query
 def vector_fit(spark, sf):
     """Vectors cut to 48 and padded to 80 numbers."""

@@ -141,6 +141,7 @@ oracle(
     SELECT CAST(query_id AS BIGINT) AS query_id, id, rank, round(d, 6) AS distance,
       round(1 / (1 + d), 6) AS score FROM ranked WHERE rank <= 10""",
 )
+oracle("ann_search_all_cells", ORACLES["knn_batch"])
 oracle(
     "vector_fit",
     f"""WITH {VECTORS} SELECT id, 48 AS cut_size, 80 AS padded_size,

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.constants import CANONICAL_TAGS
-from factloom.operators.align import first_per_key
 
 
 def tag_table(spark, tags: Mapping[str, str] = CANONICAL_TAGS) -> DataFrame:
@@ -73,8 +72,13 @@ def distinct_concepts(facts: DataFrame) -> DataFrame:
 
 
 def first_row_per_concept(facts: DataFrame, *order: str) -> DataFrame:
-    """One row per concept; ``order`` makes the choice repeatable."""
-    return first_per_key(facts, ["concept_name"], *[F.col(c) for c in order])
+    """One row per concept; ``order`` makes the choice repeatable.
+
+    The smallest row is kept by an aggregate, so each task passes on one row
+    per concept and nothing is sorted by the order columns.
+    """
+    row, place = F.struct(*facts.columns), F.struct(*order)
+    return facts.groupBy("concept_name").agg(F.min_by(row, place).alias("row")).select("row.*")
 
 
 def with_canonical_tag(facts: DataFrame, tags: Mapping[str, str] = CANONICAL_TAGS) -> DataFrame:

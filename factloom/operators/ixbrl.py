@@ -35,24 +35,24 @@ def inline_facts(parts: DataFrame) -> DataFrame:
     signed; a zero format means 0, a comma format swaps the separators.
     """
     tags = parts.filter((F.col("kind") == "fact") & F.col("name").isNotNull())
-    text = F.btrim(F.col("text"), F.lit(" \t\r\n\xa0"))
-    form = F.lower(F.coalesce("format", F.lit("")))
-    digits = F.when(
-        form.contains("comma-decimal") | form.contains("commadot") | form.contains("commadecimal"),
-        F.translate(F.translate(text, ".  \xa0", ""), ",", "."),
-    ).otherwise(F.translate(text, ", \xa0", ""))
-    digits = F.when(form.rlike("zero") & ~form.contains("nonzero"), F.lit("0")).otherwise(digits)
+    gaps = " \xa0\t\r\n"
+    form = F.lower(F.col("format"))
+    swapped = (
+        form.contains("comma-decimal") | form.contains("commadot") | form.contains("commadecimal")
+    )
+    zero = form.contains("zero") & ~form.contains("nonzero")
+    digits = (
+        F.when(zero, F.lit("0"))
+        .when(swapped, F.translate(F.translate(F.col("text"), "." + gaps, ""), ",", "."))
+        .otherwise(F.translate(F.col("text"), "," + gaps, ""))
+    )
     scale = F.coalesce(int_or_null(F.col("scale")), F.lit(0))
     sign = F.when(F.col("sign") == "-", F.lit("-")).otherwise(F.lit(""))
-    number = float_or_null(digits) * F.pow(F.lit(10.0), scale)
-    scaled = F.when(
-        number.isNotNull(),
-        F.when(scale == 0, F.concat(sign, digits)).otherwise(
-            F.concat(sign, number.cast("string"))
-        ),
-    )
+    number = float_or_null(digits)
+    size = F.when(scale == 0, digits).otherwise((number * F.pow(F.lit(10.0), scale)).cast("string"))
+    scaled = F.when(number.isNotNull(), F.concat(sign, size))
     numeric = F.col("tag").endswith("nonfraction")
-    local = F.regexp_extract("name", r"([^:]*)$", 1)
+    local = F.substring_index("name", ":", -1)
     is_instant = F.col("instant").isNotNull()
     return tags.select(
         "filing_id",
