@@ -135,6 +135,16 @@ def section_text_facts(parts: DataFrame) -> DataFrame:
     return align(rows, SECTION_TEXT_FACTS)
 
 
+def filing_dates(filings: DataFrame) -> DataFrame:
+    """What facts inherit from their filing: ticker and both dates."""
+    return filings.select(
+        "filing_id",
+        "ticker",
+        F.col("filing_date_dt").alias("filing_date"),
+        F.col("report_date_dt").alias("report_date"),
+    )
+
+
 def with_filing(facts: DataFrame, filings: DataFrame) -> DataFrame:
     """Facts inherit ticker and both dates of their filing.
 
@@ -142,13 +152,7 @@ def with_filing(facts: DataFrame, filings: DataFrame) -> DataFrame:
     address or ticker must be removed before (``usable_filings``); filings that
     failed to parse have no facts and drop out.
     """
-    dates = filings.select(
-        "filing_id",
-        "ticker",
-        F.col("filing_date_dt").alias("filing_date"),
-        F.col("report_date_dt").alias("report_date"),
-    )
-    return facts.join(dates, "filing_id")
+    return facts.join(filing_dates(filings), "filing_id")
 
 
 def string_fact_rows(parts: DataFrame) -> DataFrame:

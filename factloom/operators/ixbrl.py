@@ -9,6 +9,7 @@ from factloom.constants import BLANK_HEADING_TITLE, NO_HEADING_TITLE
 from factloom.functions.text import float_or_null, int_or_null, present
 from factloom.operators.align import first_per_key
 from factloom.operators.facts import NUMERIC, TEXT
+from factloom.sources.html import PART_COLUMNS
 
 FACT_COLUMNS = [
     "concept_name",
@@ -31,6 +32,8 @@ FACT_COLUMNS = [
 def inline_facts(parts: DataFrame) -> DataFrame:
     """Instance facts from the fact tags of a document, without any shuffle.
 
+    Columns carried along by the reader, such as ticker and dates, are kept.
+
     The number is the text without separators, scaled by a power of ten and
     signed; a zero format means 0, a comma format swaps the separators.
     """
@@ -54,8 +57,10 @@ def inline_facts(parts: DataFrame) -> DataFrame:
     numeric = F.col("tag").endswith("nonfraction")
     local = F.substring_index("name", ":", -1)
     is_instant = F.col("instant").isNotNull()
+    carried = [c for c in parts.columns if c not in ("filing_id", *PART_COLUMNS)]
     return tags.select(
         "filing_id",
+        *carried,
         "fact_id",
         "pos",
         local.alias("concept_name"),

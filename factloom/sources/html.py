@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html import unescape
 
 import pandas as pd
@@ -255,43 +255,49 @@ def read_parts(html: str) -> list[dict]:
     return []
 
 
-def document_parts(pages: DataFrame, filing_id: str = "filing_id", html: str = "html") -> DataFrame:
+def document_parts(
+    pages: DataFrame, filing_id: str = "filing_id", html: str = "html", keep: Sequence[str] = ()
+) -> DataFrame:
     """One row per heading, text and fact tag: ``filing_id, pos, kind, ...``.
 
     ``pos`` counts the rows of a document, ``end_pos`` is the last position
     inside a tag, ``reached`` is false below headings and outside the body.
+    Columns named in ``keep`` are carried along, which spares a join later.
     """
-
-    key_type = dict(pages.dtypes)[filing_id]
+    carried = ["filing_id", *keep]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            schema = _part_arrow(batch.schema.field("filing_id"))
-            keys: list = []
+            sources: list[int] = []
             columns: list[list] = [[] for _ in PART_COLUMNS]
-            for key, source in zip(batch["filing_id"].to_pylist(), batch["html"]):
+            for i, source in enumerate(batch["html"]):
                 rows = read_parts(source.as_py() or "")
-                keys += [key] * len(rows)
+                sources += [i] * len(rows)
                 for name, column in zip(PART_COLUMNS, columns):
                     column += [row.get(name) for row in rows]
-                if len(keys) >= ROWS_PER_BATCH:
-                    yield pa.RecordBatch.from_arrays(_arrays(schema, [keys, *columns]), schema=schema)
-                    keys, columns = [], [[] for _ in PART_COLUMNS]
-            if keys:
-                yield pa.RecordBatch.from_arrays(_arrays(schema, [keys, *columns]), schema=schema)
+                if len(sources) >= ROWS_PER_BATCH:
+                    yield _part_batch(batch, carried, sources, columns)
+                    sources, columns = [], [[] for _ in PART_COLUMNS]
+            if sources:
+                yield _part_batch(batch, carried, sources, columns)
 
-    return pages.select(F.col(filing_id).alias("filing_id"), F.col(html).alias("html")).mapInArrow(
-        parse, f"filing_id {key_type}, {PART_SCHEMA}"
-    )
+    chosen = pages.select(F.col(filing_id).alias("filing_id"), *keep, F.col(html).alias("html"))
+    kinds = dict(chosen.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried)
+    return chosen.mapInArrow(parse, f"{schema}, {PART_SCHEMA}")
 
 
-def _arrays(schema: pa.Schema, columns: list[list]) -> list[pa.Array]:
-    return [pa.array(column, type=field.type) for field, column in zip(schema, columns)]
+PART_KINDS = {"pos": pa.int32(), "end_pos": pa.int32(), "reached": pa.bool_()}
 
 
-def _part_arrow(key: pa.Field) -> pa.Schema:
-    kinds = {"pos": pa.int32(), "end_pos": pa.int32(), "reached": pa.bool_()}
-    return pa.schema([key, *[(c, kinds.get(c, pa.string())) for c in PART_COLUMNS]])
+def _part_batch(batch: pa.RecordBatch, carried, sources, columns) -> pa.RecordBatch:
+    """Part rows with the carried columns of the document each row comes from."""
+    origin = pa.array(sources, type=pa.int32())
+    arrays = [batch.column(c).take(origin) for c in carried] + [
+        pa.array(column, type=PART_KINDS.get(name, pa.string()))
+        for name, column in zip(PART_COLUMNS, columns)
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=[*carried, *PART_COLUMNS])
 
 
 class _TextReader(_NodeReader):
