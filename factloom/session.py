@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,19 +41,30 @@ def spread(df):
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Every executor must be able to read it. Only where the setting is absent
-    (local tests) is a folder made on this machine.
+    Every executor must be able to read it. A session on one machine without the setting gets a
+    folder of its own; on a cluster a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder.
+
+    The file system removes that part when the driver ends.
+    """
+    folder = f"{shared_folder(spark)}/factloom-{spark.sparkContext.applicationId}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df, label: str):
