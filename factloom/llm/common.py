@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import factloom
+
 ROW = "__row"
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started; once per session.
+
+    The driver zips its own copy and Spark hands that to all executors.
+    """
+    session = spark.sparkContext.applicationId
+    if session in _SENT:
+        return
+    home = Path(factloom.__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="factloom-")) / "factloom.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(home.rglob("*.py")):
+            out.write(source, source.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SENT.add(session)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

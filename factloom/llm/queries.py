@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, hash_tree, pii, simhash, token_counts, toxicity
-from factloom.llm import url_graph
-from factloom.llm.common import table
+from factloom.llm import ann, bpe, decontaminate, hash_tree, language_model, pii, simhash
+from factloom.llm import token_counts, toxicity, url_graph
+from factloom.llm.common import send_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,8 +18,13 @@ SHARDS = 16
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        send_package(spark)
+        return fn(spark, sf)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
@@ -52,6 +58,16 @@ def op4_byte_pairs(spark, sf):
     return bpe.digests(bpe.encode_documents(docs))
 
 
+@query
+def op5_nearest(spark, sf):
+    return ann.nearest(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query
+def op6_language_model(spark, sf):
+    return language_model.scored_documents(table(spark, sf, "documents"))
+
+
 @query
 def op7_sharding(spark, sf):
     tree = hash_tree.even_tree(SHARDS)
