@@ -262,6 +262,7 @@ def filings_per_ticker(spark, sf):
     grouped = filings.filings_per_ticker(filings.derive_filings(A.raw_filings(spark, sf), STAMP))
     return grouped.select(
         "ticker",
+        "filing_year",
         F.size("filings").cast("bigint").alias("n_filings"),
         F.array_join(F.transform("filings", lambda f: f["accessionNumber"]), ",").alias("numbers"),
     )

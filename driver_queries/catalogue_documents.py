@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from driver_queries import adapters as A
 from driver_queries.catalogue import query, text_of
 from factloom.operators import content, facts, filings, ixbrl, render, sections
-from factloom.session import spread
 from factloom.sources.html import document_parts, page_text, visible_text
 
 # --- inline documents --------------------------------------------------------
@@ -140,13 +139,13 @@ def vector_records(spark, sf):
 
 @query
 def html_text(spark, sf):
-    pages = spread(A.table(spark, sf, "pages"))
+    pages = A.table(spark, sf, "pages")
     return pages.select("page_id", page_text(F.col("html")).alias("text"))
 
 
 @query
 def html_strings(spark, sf):
-    pages = spread(A.table(spark, sf, "pages"))
+    pages = A.table(spark, sf, "pages")
     return pages.select("page_id", visible_text(F.col("html")).alias("text"))
 
 

@@ -13,12 +13,16 @@ from factloom.functions.vectors import fit_dimension
 from factloom.operators import annotations, filings, vectors
 from factloom.plans.collect import collect_filings
 from factloom.plans.facts import refresh_facts
+from factloom.plans.knowledge_base import store_filing_texts
 from factloom.schemas import FILINGS
 from factloom.session import scratch_path
 from factloom.sources import tables
 from factloom.sources.jsonl import numbered_lines, read_records
 from factloom.streaming.annotations import absorb_saves
 
+PROBES, RECALL, EXACT = 16, 0.8, 200
+RECORD_SEEN = "4-NOT SPECIFIED#1"
+
 # --- annotation workflow -----------------------------------------------------
 
 
@@ -163,7 +167,7 @@ def records_of_file(spark, sf):
 
 @query
 def record_by_id(spark, sf):
-    return annotations.get_record(A.order_records(spark, sf), "1-URGENT#1").select("record_index")
+    return annotations.get_record(A.order_records(spark, sf), RECORD_SEEN).select("record_index")
 
 
 @query
@@ -236,9 +240,19 @@ def _cells(spark, sf):
 
 @query
 def ann_search(spark, sf):
+    """Approximate search next to the exact one: recall at or above a bound, true distances."""
     stored, centres = _cells(spark, sf)
-    found = vectors.search_cells(stored, centres, _label_centres(spark, sf), probes=8)
-    return _rounded(found, "query_id", "id", "rank")
+    asked = _label_centres(spark, sf)
+    found = vectors.search_cells(stored, centres, asked, probes=PROBES)
+    exact = vectors.search_many(A.vectors(spark, sf), asked, limit=EXACT)
+    exact = exact.select("query_id", "id", F.col("distance").alias("true_distance"), F.col("rank").alias("place"))
+    met = found.join(exact, ["query_id", "id"], "left")
+    near = F.abs(F.col("distance") - F.col("true_distance")) < 1e-9
+    return met.groupBy("query_id").agg(
+        F.count("*").alias("n_found"),
+        (F.count_if(F.col("place") <= 10) >= 10 * RECALL).alias("recall_reached"),
+        F.min(F.coalesce(near, F.col("true_distance").isNull())).alias("distances_true"),
+    )
 
 
 @query
@@ -285,8 +299,8 @@ def vector_prepare(spark, sf):
 
 @query
 def vector_listing(spark, sf):
-    listed = vectors.list_documents(A.vectors(spark, sf), "L3", limit=1_000_000)
-    return listed.select("id", "ticker")
+    """The default limit, in the order of the columns."""
+    return vectors.list_documents(A.vectors(spark, sf).select("id", "ticker", "vector"), "L3")
 
 
 # --- sinks and refreshes -----------------------------------------------------
@@ -325,23 +339,89 @@ def collect_filings_twice(spark, sf):
     return base._show_filings(final)
 
 
-@query
-def facts_refresh(spark, sf):
-    """Facts of American filers are stored first; the refresh adds all others."""
-    path = scratch_path(spark, "facts")
-    pages = A.filing_pages(spark, sf)
-    described = A.raw_filings(spark, sf).select(
+def _described(spark, sf, ticker=None):
+    return A.raw_filings(spark, sf).select(
         F.col("o_orderkey").alias("filing_id"),
-        "ticker",
+        (F.col("ticker") if ticker is None else ticker).alias("ticker"),
         F.lit("x.htm").alias("xbrl_instance_url"),
         F.to_date("reportDate").alias("report_date_dt"),
         F.date_add(F.to_date("reportDate"), 60).alias("filing_date_dt"),
     )
-    everyone = base._securities(spark, sf)
-    refresh_facts(everyone.filter("exchange = 'BUILDING'"), described, pages, path)
-    stored = refresh_facts(everyone, described, pages, path)
+
+
+def _fact_totals(stored):
     return stored.groupBy("ticker", "concept_name").agg(
         F.count(F.lit(1)).alias("n_facts"),
         F.round(F.sum(F.col("fact_value").cast("decimal(20,2)")).cast("double"), 2).alias("total"),
         *[F.max(F.col(c).cast("string")).alias(c) for c in ("filing_date", "report_date")],
     )
+
+
+@query
+def facts_refresh(spark, sf):
+    """Facts of American filers are stored first; the refresh adds all others."""
+    path = scratch_path(spark, "facts")
+    pages, described = A.filing_pages(spark, sf), _described(spark, sf)
+    everyone = base._securities(spark, sf)
+    refresh_facts(everyone.filter("exchange = 'BUILDING'"), described, pages, path)
+    return _fact_totals(refresh_facts(everyone, described, pages, path))
+
+
+@query
+def facts_refresh_new_filings(spark, sf):
+    """Early filings are stored first; the refresh adds later ones of the same tickers."""
+    path = scratch_path(spark, "facts")
+    pages, described = A.filing_pages(spark, sf), _described(spark, sf)
+    everyone = base._securities(spark, sf)
+    refresh_facts(everyone, described.filter("report_date_dt < '1995-07-01'"), pages, path)
+    return _fact_totals(refresh_facts(everyone, described, pages, path))
+
+
+@query
+def facts_refresh_numeric_tickers(spark, sf):
+    """Tickers that are padded digits keep their zeros in a table stored by ticker."""
+    path = scratch_path(spark, "facts")
+    digits = F.substring("ticker", 2, 20)
+    everyone = base._securities(spark, sf).withColumn("ticker", digits)
+    described, pages = _described(spark, sf, digits), A.filing_pages(spark, sf)
+    refresh_facts(everyone, described, pages, path)
+    return _fact_totals(refresh_facts(everyone, described, pages, path))
+
+
+@query
+def facts_refresh_empty(spark, sf):
+    """Pages without facts leave an empty placeholder that can be read and refreshed."""
+    path = scratch_path(spark, "facts")
+    pages = A.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("filing_id"), F.lit("<p>no facts</p>").alias("html")
+    )
+    everyone, described = base._securities(spark, sf), _described(spark, sf)
+    refresh_facts(everyone, described, pages, path)
+    stored = refresh_facts(everyone, described, pages, path)
+    read = spark.read.parquet(f"{path}.read").select(F.count("*").alias("n_read"))
+    return stored.agg(F.count("*").alias("n_facts")).join(read)
+
+
+@query
+def filing_texts_twice(spark, sf):
+    """Texts per source and year; a second run keeps the stored ones, odd dates have a year too."""
+    path = scratch_path(spark, "texts")
+    docs = A.table(spark, sf, "documents")
+    number = F.lpad(F.col("doc_id").cast("string"), 9, "0")
+    year = (2010 + F.col("doc_id") % 10).cast("string")
+    described = docs.select(
+        F.col("source").alias("ticker"),
+        F.lit("1").alias("cik"),
+        F.when(F.col("doc_id") % 7 == 0, F.lit("odd")).otherwise(F.concat(year, F.lit("-02-20"))).alias("filingDate"),
+        number.alias("accessionNumber"),
+        F.lit(None).cast("string").alias("documents_url"),
+        "lang",
+    )
+    raw = docs.select(
+        number.alias("accessionNumber"),
+        F.concat(F.lit("<DOCUMENT><TYPE>10-K<TEXT>"), "text", F.lit("</TEXT>")).alias("raw"),
+    )
+    store_filing_texts(described.filter("lang = 'en'").drop("lang"), raw, path)
+    store_filing_texts(described.drop("lang"), raw, path)
+    stored = spark.read.schema("ticker string, year string, accessionNumber string, raw string").parquet(path)
+    return stored.select("ticker", "year", "accessionNumber", F.length("raw").alias("n_chars"))

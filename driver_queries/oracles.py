@@ -212,9 +212,9 @@ oracle(
 )
 oracle(
     "filings_per_ticker",
-    f"""WITH {DERIVED} SELECT ticker, count(*) AS n_filings,
+    f"""WITH {DERIVED} SELECT ticker, filing_year, count(*) AS n_filings,
       string_agg(accessionNumber, ',' ORDER BY filingDate, accessionNumber) AS numbers
-    FROM derived GROUP BY ticker""",
+    FROM derived GROUP BY ticker, filing_year""",
 )
 oracle(
     "columnar_json_rows",

@@ -105,7 +105,7 @@ oracle(
 )
 oracle(
     "record_by_id",
-    f"WITH {_PLACED} SELECT record_index FROM recs WHERE record_id = '1-URGENT#1'",
+    f"WITH {_PLACED} SELECT record_index FROM recs WHERE record_id = '4-NOT SPECIFIED#1'",
 )
 oracle("uploaded_files", f"WITH {_PLACED} SELECT DISTINCT file_name FROM recs")
 
@@ -141,6 +141,11 @@ oracle(
     SELECT CAST(query_id AS BIGINT) AS query_id, id, rank, round(d, 6) AS distance,
       round(1 / (1 + d), 6) AS score FROM ranked WHERE rank <= 10""",
 )
+oracle(
+    "ann_search",
+    """SELECT DISTINCT CAST(label AS BIGINT) AS query_id, CAST(10 AS BIGINT) AS n_found,
+      true AS recall_reached, true AS distances_true FROM embeddings""",
+)
 oracle("ann_search_all_cells", ORACLES["knn_batch"])
 oracle(
     "vector_fit",
@@ -152,22 +157,42 @@ oracle(
     f"""WITH {VECTORS} SELECT ticker, CAST(id AS VARCHAR) AS text, '2024-01-01' AS date,
       CASE WHEN label > 4 THEN '10-K_1' ELSE 'unknown' END AS source, 64 AS dim FROM vecs""",
 )
-oracle("vector_listing", f"WITH {VECTORS} SELECT id, ticker FROM vecs WHERE ticker = 'L3'")
+oracle("vector_listing", f"WITH {VECTORS} SELECT id, ticker FROM vecs WHERE ticker = 'L3' ORDER BY id LIMIT 100")
 
 # --- sinks and refreshes -----------------------------------------------------
 
 for _name in ("filings_parquet_round_trip", "filings_csv_round_trip"):
     oracle(_name, ORACLES["filings_derive"])
 oracle("collect_filings_twice", ORACLES["collect_filings"])
-oracle(
-    "facts_refresh",
-    f"""WITH {LINES}, read_back AS (
+
+
+def _totals(ticker: str) -> str:
+    return f"""WITH {LINES}, read_back AS (
       SELECT ticker, 'Revenues' AS concept_name, CAST(l_extendedprice AS DECIMAL(20, 2)) AS x,
         filing_date, report_date FROM lines
       UNION ALL SELECT ticker, 'Discount', -CAST(l_discount AS DECIMAL(20, 2)), filing_date,
         report_date FROM lines)
-    SELECT ticker, concept_name, count(*) AS n_facts, round(CAST(sum(x) AS DOUBLE), 2) AS total,
-      CAST(max(filing_date) AS VARCHAR) AS filing_date,
+    SELECT {ticker} AS ticker, concept_name, count(*) AS n_facts,
+      round(CAST(sum(x) AS DOUBLE), 2) AS total, CAST(max(filing_date) AS VARCHAR) AS filing_date,
       CAST(max(report_date) AS VARCHAR) AS report_date
-    FROM read_back GROUP BY ticker, concept_name""",
+    FROM read_back GROUP BY ALL"""
+
+
+oracle("facts_refresh", _totals("ticker"))
+oracle("facts_refresh_new_filings", _totals("ticker"))
+oracle("facts_refresh_numeric_tickers", _totals("substr(ticker, 2)"))
+oracle(
+    "facts_refresh_empty",
+    f"""WITH {SECURITIES} SELECT CAST(0 AS BIGINT) AS n_facts, count(*) AS n_read FROM orders
+    WHERE 'T' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') IN (SELECT ticker FROM sec)""",
+)
+oracle(
+    "filing_texts_twice",
+    """WITH described AS (
+      SELECT source AS ticker, lang, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS accessionNumber,
+        CASE WHEN doc_id % 7 = 0 THEN 'unknown_year' ELSE CAST(2010 + doc_id % 10 AS VARCHAR) END AS year,
+        length('<DOCUMENT><TYPE>10-K<TEXT>' || text || '</TEXT>') AS n_chars FROM documents)
+    SELECT ticker, year, accessionNumber, n_chars FROM described
+    QUALIFY row_number() OVER (PARTITION BY ticker, year
+      ORDER BY lang <> 'en', accessionNumber) = 1""",
 )

@@ -167,7 +167,7 @@ def two_decimals(c: Column) -> Column:
     whole = nearest.cast("decimal(38,0)")
     off = (product - nearest) + error
     near = F.abs(product - nearest) <= F.abs(product) * F.lit(1e-15)
-    is_half = near & (F.abs(whole % 10) == 5) & (F.abs(c) < 1e12)
+    is_half = near & (F.abs(whole % 10) == 5)
     floor = F.floor(whole / 10).cast("decimal(38,0)")
     up = (off > 0) | ((off == 0) & (floor % 2 != 0))
     exact = ((floor + F.when(up, F.lit(1)).otherwise(F.lit(0))) / 100).cast("decimal(38,2)")

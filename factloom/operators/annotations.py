@@ -26,13 +26,14 @@ def record_id(file_name: Column, index: Column) -> Column:
 
 def source_records(lines: DataFrame) -> DataFrame:
     """Records of good lines: ``file_name, record_index, record_json`` plus ticker and year."""
-    body = F.col("record_json")
+    # Of a repeated key the last value counts.
+    body = F.from_json("record_json", "ticker string, fy string")
     return align(
         lines.withColumns(
             {
                 "record_id": record_id(F.col("file_name"), F.col("record_index")),
-                "ticker": F.get_json_object(body, "$.ticker"),
-                "fy": int_or_null(F.get_json_object(body, "$.fy")),
+                "ticker": body["ticker"],
+                "fy": int_or_null(body["fy"]),
             }
         ),
         SOURCE_RECORDS,
@@ -55,7 +56,8 @@ def _spoken_value(item: Column) -> Column:
 
 def value_items(records: DataFrame) -> DataFrame:
     """Items of the ``values`` list of each record; records without a list give none."""
-    listed = F.from_json(F.get_json_object("record_json", "$.values"), "array<string>")
+    body = F.from_json("record_json", "values string")
+    listed = F.from_json(body["values"], "array<string>")
     items = records.select("record_id", F.posexplode(listed).alias("item_index", "item_json"))
     field = {n: F.get_json_object("item_json", f"$.{n}") for n in ("tag", "units", "comments")}
     return align(
@@ -95,9 +97,15 @@ def latest_state(events: DataFrame, key: str, *newest_first: Column) -> DataFram
     return first_per_key(events, [key], *newest_first)
 
 
+def newest_saves() -> list[Column]:
+    """The order of saves, newest first; of equal times the one that sorts last in its columns."""
+    rest = [f.name for f in ANNOTATIONS if f.name not in ("item_id", "updated_at")]
+    return [F.col(c).desc_nulls_last() for c in ("updated_at", *rest)]
+
+
 def upsert_annotations(current: DataFrame, saves: DataFrame) -> DataFrame:
     """Saved values replace the stored row of the same item; unknown items are added."""
-    newest = latest_state(align(saves, ANNOTATIONS), "item_id", F.col("updated_at").desc())
+    newest = latest_state(align(saves, ANNOTATIONS), "item_id", *newest_saves())
     kept = current.join(newest.select("item_id"), "item_id", "left_anti")
     return align(kept, ANNOTATIONS).unionByName(newest)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.text import float_or_null, int_or_null, parse_date, present, url_segment
 from factloom.operators.align import align
@@ -108,9 +109,16 @@ def _numeric(facts: DataFrame) -> DataFrame:
     )
 
 
-def numeric_facts(facts: DataFrame) -> DataFrame:
-    """Direct numeric facts from instance facts that already carry period and filing columns."""
-    return align(_numeric(_common(numeric_only(facts))), NUMERIC_FACTS)
+def numeric_facts(facts: DataFrame, filing_key: T.StructField | None = None) -> DataFrame:
+    """Direct numeric facts from instance facts that already carry period and filing columns.
+
+    With ``filing_key`` the filing's id stands in a last column of that name and type.
+    """
+    rows, schema = _numeric(_common(numeric_only(facts))), NUMERIC_FACTS
+    if filing_key is not None:
+        rows = rows.withColumn(filing_key.name, F.col("filing_id").cast(filing_key.dataType))
+        schema = T.StructType([*NUMERIC_FACTS.fields, filing_key])
+    return align(rows, schema)
 
 
 def text_facts(facts: DataFrame) -> DataFrame:

@@ -205,19 +205,13 @@ def xbrl_links(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-def filings_per_ticker(filings: DataFrame, page_size: int = 1000) -> DataFrame:
-    """The filings of a ticker as lists of records in date order.
+def filings_per_ticker(filings: DataFrame) -> DataFrame:
+    """The filings of each ticker and filing year as a list of records in date order.
 
-    Tickers with more than ``page_size`` filings are spread over several pages
-    by a hash of the number, so no list grows without bound.
+    A list per year keeps the date order over the lists of a ticker, and no list grows with the
+    number of years.
     """
-    sizes = filings.groupBy("ticker").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(page_size)).alias("__pages")
-    )
     record = F.struct("filingDate", "accessionNumber", "cik", "documents_url")
-    return (
-        filings.join(sizes, "ticker")
-        .withColumn("page", F.pmod(F.xxhash64("accessionNumber"), F.col("__pages")))
-        .groupBy("ticker", "page")
-        .agg(F.sort_array(F.collect_list(record)).alias("filings"))
+    return filings.groupBy("ticker", "filing_year").agg(
+        F.sort_array(F.collect_list(record)).alias("filings")
     )

@@ -105,19 +105,19 @@ def expected_pairs(securities: DataFrame, years: YearRange) -> DataFrame:
 
 
 def missing_pairs(expected: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """Expected pairs without a filing; a table without both columns covers nothing.
+    """Expected pairs without a filing, in order; a table without both columns covers nothing.
 
     The existing side is reduced to its distinct pairs before it is shuffled.
     """
     keys = ["ticker", "filing_year"]
     if existing is None or not set(keys) <= set(existing.columns):
-        return expected.select(*keys)
+        return expected.select(*keys).orderBy(*keys)
     have = (
         existing.select("ticker", F.col("filing_year").try_cast("bigint").alias("filing_year"))
         .filter(F.col("ticker").isNotNull() & F.col("filing_year").isNotNull())
         .distinct()
     )
-    return expected.join(have, keys, "left_anti").select(*keys)
+    return expected.join(have, keys, "left_anti").select(*keys).orderBy(*keys)
 
 
 def parse_ticker_lines(lines: DataFrame, column: str = "value") -> DataFrame:

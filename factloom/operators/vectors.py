@@ -7,12 +7,13 @@ import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +24,8 @@ from factloom.schemas import VECTOR_RECORD
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Query vectors that one pass over the table takes along.
-QUERIES_PER_PASS = 1024
+# Rows of a block on either side of a search for many queries.
+RECORDS_PER_BLOCK, QUERIES_PER_BLOCK = 16_384, 1024
 
 
 def prepare_records(documents: DataFrame, dim: int, today: str) -> DataFrame:
@@ -38,7 +39,9 @@ def prepare_records(documents: DataFrame, dim: int, today: str) -> DataFrame:
 
 
 def list_documents(records: DataFrame, ticker: str, limit: int = LISTING_LIMIT) -> DataFrame:
-    return records.filter(F.col("ticker") == ticker).drop("vector").limit(limit)
+    """The first ``limit`` records of a ticker in the order of their columns, without the vector."""
+    listed = records.filter(F.col("ticker") == ticker).drop("vector")
+    return listed.orderBy(*listed.columns).limit(limit)
 
 
 def _distances(block: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
@@ -54,67 +57,141 @@ def _distances(block: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarra
         return 1.0 - products / norms
 
 
+def _checked(vector: str, dim: int) -> Column:
+    """The vector, or an error where its length differs from that of the queries."""
+    size = F.size(vector)
+    words = F.concat(F.lit("a vector has length "), size.cast("string"), F.lit(f", queries {dim}"))
+    return F.when(size == dim, F.col(vector)).otherwise(F.raise_error(words))
+
+
+def _found_schema(kept: list[T.StructField]) -> T.StructType:
+    return T.StructType(
+        [T.StructField("query_id", T.LongType())]
+        + kept
+        + [T.StructField("distance", T.DoubleType())]
+    )
+
+
+def _matrix(column) -> np.ndarray:
+    """Vectors of one length as rows, in double precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = set(pc.list_value_length(column).to_pylist())
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths)}")
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), -1)
+
+
+def _best(rows, kept: list[str], id_col: str, vector_col: str, names, vectors, k: int, metric: str):
+    """For each query the ``k`` nearest of ``rows`` (an Arrow batch or table), as Arrow tables."""
+    distances = _distances(_matrix(rows.column(vector_col)), vectors, metric)
+    ids = rows.column(id_col)
+    order_ids = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy()
+    payload = rows.select(kept)
+    for j, name in enumerate(names):
+        d = distances[:, j]
+        usable = np.flatnonzero(~np.isnan(d))
+        if len(usable) > k:
+            bound = np.partition(d[usable], k - 1)[k - 1]
+            usable = usable[d[usable] <= bound]
+        best = usable[np.lexsort((order_ids[usable], d[usable]))][:k]
+        if len(best):
+            picked = payload.take(pa.array(best))
+            yield pa.table(
+                [
+                    pa.array(np.full(len(best), name, dtype=np.int64)),
+                    *picked.columns,
+                    pa.array(d[best]),
+                ],
+                names=["query_id", *kept, "distance"],
+            )
+
+
+def _known(metric: str) -> None:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; use one of {METRICS}")
+
+
 def _nearest(
+    records: DataFrame, query: np.ndarray, id_col: str, vector_col: str, k: int, metric: str
+) -> DataFrame:
+    """The ``k`` rows of each batch that are nearest to one query, with ``distance``.
+
+    Rows without a vector are left out; a vector of another length is an error.
+    """
+    _known(metric)
+    kept = [f for f in records.schema if f.name != vector_col]
+    names = [f.name for f in kept]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for found in _best(batch, names, id_col, vector_col, [0], query, k, metric):
+                    yield from found.to_batches()
+
+    whole = records.filter(F.col(vector_col).isNotNull())
+    whole = whole.select(*names, _checked(vector_col, query.shape[1]).alias(vector_col))
+    return whole.mapInArrow(search, _found_schema(kept))
+
+
+def _blocks(df: DataFrame, size: int) -> int:
+    return max(1, -(-df.count() // size))
+
+
+def _met(
     records: DataFrame,
-    names: list,
-    vectors: np.ndarray,
+    queries: DataFrame,
+    keys: list[str],
     id_col: str,
     vector_col: str,
     k: int,
     metric: str,
-    cells: list[np.ndarray] | None = None,
 ) -> DataFrame:
-    """The ``k`` nearest rows per query out of each batch, with ``query_id`` and ``distance``.
+    """The ``k`` nearest rows per query within each pair of blocks.
 
-    Each task measures its batches against the few query vectors and passes on
-    at most ``k`` rows per query and batch. With ``cells`` a query looks only
-    at rows of its cells.
+    ``keys`` are columns of both sides and say which rows meet; both sides are then dealt into
+    blocks of bounded size by hash, and each block of records meets each block of queries of the
+    same keys. ``queries`` holds ``query_id, query_vector``.
     """
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}; use one of {METRICS}")
-    dim = vectors.shape[1]
-    kept = [f for f in records.schema if f.name not in (vector_col, "cell")]
-    out = T.StructType(
-        [T.StructField("query_id", T.LongType())]
-        + kept
-        + [T.StructField("distance", T.DoubleType())]
+    _known(metric)
+    # The number of blocks follows both tables; only the two counts reach the driver.
+    parts, groups = _blocks(records, RECORDS_PER_BLOCK), _blocks(queries, QUERIES_PER_BLOCK)
+    kept = [f for f in records.schema if f.name not in (vector_col, *keys)]
+    names = [f.name for f in kept]
+    part, group = "__part", "__group"
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    left = (
+        records.filter(F.col(vector_col).isNotNull())
+        .withColumn(part, F.pmod(F.xxhash64(id_col, vector_col), F.lit(parts)).cast("int"))
+        .withColumn(group, every(groups))
     )
-    names = [int(n) for n in names]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(vector_col).flatten().to_numpy(zero_copy_only=False)
-            distances = _distances(flat.reshape(-1, dim).astype(np.float64), vectors, metric)
-            ids = batch.column(id_col)
-            order_ids = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy()
-            payload = batch.select([f.name for f in kept])
-            cell = batch.column("cell").to_numpy() if cells is not None else None
-            for j, name in enumerate(names):
-                d = distances[:, j]
-                usable = ~np.isnan(d)
-                if cells is not None:
-                    usable &= np.isin(cell, cells[j])
-                rows = np.flatnonzero(usable)
-                if len(rows) > k:
-                    bound = np.partition(d[rows], k - 1)[k - 1]
-                    rows = rows[d[rows] <= bound]
-                best = rows[np.lexsort((order_ids[rows], d[rows]))][:k]
-                if len(best):
-                    picked = payload.take(pa.array(best))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(best), name, dtype=np.int64)),
-                            *picked.columns,
-                            pa.array(d[best]),
-                        ],
-                        names=out.fieldNames(),
-                    )
-
-    whole = records.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim))
-    columns = [f.name for f in kept] + [vector_col] + (["cell"] if cells is not None else [])
-    return whole.select(*columns).mapInArrow(search, out)
+    right = (
+        queries.filter(F.col("query_vector").isNotNull())
+        .withColumn(group, F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+        .withColumn(part, every(parts))
+    )
+    out = _found_schema(kept)
+
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        if rows.num_rows and asked.num_rows:
+            ids, vectors = asked.column("query_id").to_pylist(), _matrix(asked.column("query_vector"))
+            matrix = rows.column(vector_col)
+            if (n := len(matrix[0])) != vectors.shape[1]:
+                raise ValueError(f"a vector has length {n}, queries {vectors.shape[1]}")
+            found = list(_best(rows, names, id_col, vector_col, ids, vectors, k, metric))
+        if found:
+            return pa.concat_tables(found)
+        shape = rows.select(names).schema
+        fields = [pa.field("query_id", pa.int64()), *shape, pa.field("distance", pa.float64())]
+        return pa.schema(fields).empty_table()
+
+    by = [*keys, part, group]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, out)
 
 
 def _finish(candidates: DataFrame, id_col: str, limit: int, metric: str, min_score: float):
@@ -140,8 +217,8 @@ def search(
     """Nearest rows to one query vector; the vector column is left out."""
     if ticker is not None:
         records = records.filter(F.col("ticker") == ticker)
-    vectors = np.asarray([query], dtype=np.float64)
-    near = _nearest(records, [0], vectors, id_col, vector_col, limit, metric)
+    vector = np.asarray([query], dtype=np.float64)
+    near = _nearest(records, vector, id_col, vector_col, limit, metric)
     best = near.drop("query_id").orderBy("distance", id_col).limit(limit)
     scored = best.withColumn("score", score(F.col("distance"), metric))
     if metric in ("cosine", "l2"):
@@ -149,18 +226,11 @@ def search(
     return scored
 
 
-def _query_passes(queries: DataFrame, query_id: str, vector: str):
-    """Query vectors in bounded blocks.
-
-    The number of queries is checked first; beyond one block they are split by
-    a hash of the id, and each block gets a pass of its own.
-    """
-    passes = max(1, math.ceil(queries.count() / QUERIES_PER_PASS))
-    for i in range(passes):
-        block = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(passes)) == i)
-        rows = block.select(query_id, vector).orderBy(query_id).collect()
-        if rows:
-            yield [r[0] for r in rows], np.asarray([r[1] for r in rows], dtype=np.float64)
+def _queries(queries: DataFrame, query_id: str, query_vector: str) -> DataFrame:
+    return queries.select(
+        F.col(query_id).cast("bigint").alias("query_id"),
+        F.col(query_vector).cast("array<double>").alias("query_vector"),
+    )
 
 
 def search_many(
@@ -176,14 +246,11 @@ def search_many(
 ) -> DataFrame:
     """Nearest rows to each of many query vectors, exact.
 
-    ``queries`` has a whole-number id and a vector per row.
+    ``queries`` has a whole-number id and a vector per row and stays a table of any size; no query
+    gives no rows. Vectors of different lengths are an error.
     """
-    found = None
-    for names, vectors in _query_passes(queries, query_id, query_vector):
-        near = _nearest(records, names, vectors, id_col, vector_col, limit, metric)
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        raise ValueError("no query vectors")
+    asked = _queries(queries, query_id, query_vector)
+    found = _met(records, asked, [], id_col, vector_col, limit, metric)
     return _finish(found, id_col, limit, metric, min_score)
 
 
@@ -225,23 +292,20 @@ def search_cells(
     query_id: str = "query_id",
     query_vector: str = "query_vector",
 ) -> DataFrame:
-    """Approximate search: only the ``probes`` nearest cells of a query, exact inside them."""
-    found = None
-    for names, vectors in _query_passes(queries, query_id, query_vector):
-        nearest = _distances(centres, vectors, "l2").T.argsort(axis=1)[:, :probes]
-        cells = [row.astype(np.int32) for row in nearest]
-        needed = sorted({int(c) for row in cells for c in row})
-        near = _nearest(
-            indexed.filter(F.col("cell").isin(needed)),
-            names,
-            vectors,
-            id_col,
-            vector_col,
-            limit,
-            metric,
-            cells,
-        )
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        raise ValueError("no query vectors")
+    """Approximate search: only the ``probes`` nearest cells of a query, exact inside them.
+
+    Queries and rows meet by an equi-join on the cell.
+    """
+    known = np.asarray(centres, dtype=np.float64)
+    count = min(probes, len(known))
+
+    @F.pandas_udf("array<int>")
+    def cells_of(vectors: pd.Series) -> pd.Series:
+        far = _distances(known, np.stack(vectors.to_numpy()).astype(np.float64), "l2").T
+        return pd.Series(list(far.argsort(axis=1, kind="stable")[:, :count].astype(np.int32)))
+
+    asked = _queries(queries, query_id, query_vector).filter(F.col("query_vector").isNotNull())
+    asked = asked.withColumn("cell", F.explode(cells_of("query_vector")))
+    indexed = indexed.withColumn("cell", F.col("cell").cast("int"))
+    found = _met(indexed, asked, ["cell"], id_col, vector_col, limit, metric)
     return _finish(found, id_col, limit, metric, min_score)

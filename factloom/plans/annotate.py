@@ -10,6 +10,7 @@ from factloom.operators.annotations import (
     items_with_annotations,
     latest_state,
     new_rows,
+    newest_saves,
     pending_shells,
     prefill,
 )
@@ -39,19 +40,30 @@ class AnnotationStore:
         return load_table(self.spark, self.paths["events"], ANNOTATIONS)
 
     def annotations(self) -> DataFrame:
-        return latest_state(self.events(), "item_id", F.col("updated_at").desc_nulls_last())
+        return latest_state(self.events(), "item_id", *newest_saves())
 
     def ingest(self, path: str) -> DataFrame:
         """Add new records and items of JSONL files; returns the rejected lines."""
         records, items, rejected = read_records(numbered_lines(self.spark, path))
         shells = pending_shells(items, self.events())
         append_rows(
-            new_rows(records, self.records(), ["file_name", "record_index"]),
+            new_rows(
+                records,
+                self.records(),
+                ["file_name", "record_index"],
+                F.col("record_json"),
+            ),
             self.paths["records"],
             "parquet",
         )
         append_rows(
-            new_rows(items, self.items(), ["record_id", "item_index"]),
+            new_rows(
+                items,
+                self.items(),
+                ["record_id", "item_index"],
+                F.col("original_tag"),
+                F.col("original_value"),
+            ),
             self.paths["items"],
             "parquet",
         )

@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame
 from factloom.operators.filings import dedup_filings, requested_filings
 from factloom.operators.universe import YearRange, expected_pairs, missing_pairs
 from factloom.schemas import FILINGS
-from factloom.sources.tables import format_of, replace_table, scan_table, table_exists
+from factloom.session import cut_lineage
+from factloom.sources.tables import (
+    append_rows,
+    format_of,
+    replace_table,
+    scan_table,
+    table_exists,
+)
 
 
 def merged_filings(
@@ -36,14 +43,26 @@ def collect_filings(
     force_check: bool = False,
     processed_at: datetime | None = None,
 ) -> DataFrame:
-    """The stored table, completed when it is absent or a check is forced."""
+    """The stored table, completed when it is absent or a check is forced.
+
+    What is added belongs to pairs without any stored filing, so it is appended and no stored row is
+    written again.
+    """
     spark = securities.sparkSession
     fmt = fmt or format_of(path)
     existing = scan_table(spark, path, FILINGS, fmt) if table_exists(spark, path) else None
     if existing is not None:
         if not force_check:
             return existing
-        if missing_pairs(expected_pairs(securities, years), existing).isEmpty():
+        missing = missing_pairs(expected_pairs(securities, years), existing)
+        if missing.isEmpty():
             return existing
-    merged = merged_filings(securities, years, mapping, raw, existing, processed_at)
-    return replace_table(merged, path, fmt)
+        added = cut_lineage(
+            dedup_filings(requested_filings(missing, mapping, raw, processed_at)), "added"
+        )
+        if not added.isEmpty():
+            append_rows(added, path, fmt)
+        return scan_table(spark, path, FILINGS, fmt)
+    return replace_table(
+        merged_filings(securities, years, mapping, raw, None, processed_at), path, fmt
+    )

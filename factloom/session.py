@@ -27,17 +27,6 @@ def build_session(app: str = "factloom", master: str | None = None, **extra) ->
     return builder.getOrCreate()
 
 
-def spread(df):
-    """Deal the rows of a short table out to all cores.
-
-    For work that costs time by the row, such as cutting long texts. A table
-    with at least two splits per core is left as it is, so no large table is
-    ever shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 

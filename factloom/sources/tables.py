@@ -61,7 +61,9 @@ def load_table(
     if not table_exists(spark, path):
         return spark.createDataFrame([], schema)
     fmt = _check(fmt) if fmt else format_of(path)
-    return align(scan_table(spark, path, None, fmt), schema)
+    # The schema goes to the reader too: it names the types of partition columns, which a reader
+    # would else guess from their text, and it lets a table without any file be read.
+    return align(scan_table(spark, path, schema, fmt), schema)
 
 
 def write_table(
@@ -85,8 +87,8 @@ def replace_table(
 ) -> DataFrame:
     """Overwrite a table that ``df`` may itself be reading.
 
-    The new rows go to a folder next to the target, which then takes its place;
-    the old one is removed last.
+    The new rows go to a folder next to the target, which then takes its place; the old one is
+    removed last, and comes back if the new one cannot take its place.
     """
     spark = df.sparkSession
     fmt = _check(fmt) if fmt else format_of(path)
@@ -102,7 +104,9 @@ def replace_table(
     if had_one and not fs.rename(target, jvm.org.apache.hadoop.fs.Path(retired)):
         raise OSError(f"cannot move {path}")
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
-        raise OSError(f"cannot move {staged} to {path}; the old table is at {retired}")
+        if had_one:
+            fs.rename(jvm.org.apache.hadoop.fs.Path(retired), target)
+        raise OSError(f"cannot move {staged} to {path}")
     if had_one:
         fs.delete(jvm.org.apache.hadoop.fs.Path(retired), True)
     return scan_table(spark, path, df.schema, fmt)
@@ -128,7 +132,7 @@ def append_missing(
     """Append only rows whose key is not stored yet."""
     spark = df.sparkSession
     if table_exists(spark, path):
-        stored = scan_table(spark, path).select(*keys).distinct()
+        stored = scan_table(spark, path, df.schema, "parquet").select(*keys).distinct()
         df = df.join(stored, keys, "left_anti")
     append_rows(df, path, "parquet", partition_by)
 

@@ -15,7 +15,7 @@ from factloom.plans.facts import facts_of_ticker, filing_facts, refresh_facts
 from factloom.schemas import FILINGS, NUMERIC_FACTS, VECTOR_RECORD
 from factloom.session import cut_lineage
 from factloom.sources import submissions, tables
-from factloom.sources.jsonl import numbered_lines
+from factloom.sources.jsonl import numbered_lines, read_records
 from factloom.streaming.annotations import absorb_saves
 
 # --- line numbers and the annotation workflow --------------------------------
@@ -109,6 +109,28 @@ def test_upsert(spark, rows):
     assert sorted(rows(got, "item_id", "annotated_value")) == [("a", "1"), ("b", "3"), ("c", "5")]
 
 
+def test_saves_of_one_time_have_one_winner(spark, rows):
+    schema = "item_id string, annotated_value string, status string, updated_at timestamp"
+    day = datetime.datetime(2024, 1, 1)
+    saves = [("a", str(k), "x", day) for k in range(9)]
+    for order in (saves, saves[::-1]):
+        frame = spark.createDataFrame(order, schema).repartition(3)
+        got = annotations.upsert_annotations(frame.limit(0), frame)
+        assert rows(got, "item_id", "annotated_value") == [("a", "8")]
+
+
+def test_lines_with_repeated_keys_are_records(spark, rows):
+    lines = [
+        '{"ticker": "A", "fy": 1, "ticker": "B", "values": [1], "values": [{"tag": "x", "value": 2}]}',
+        '{"a": 1} {"b": 2}', '{"a": 1}, {"b": 2}', '{"a": NaN}', "[{}]", "{", "7",
+    ]
+    df = spark.createDataFrame([("f", k, v) for k, v in enumerate(lines)], "file_name string, line_index long, value string")
+    records, items, rejected = read_records(df)
+    assert rows(records, "record_index", "ticker", "fy") == [(0, "B", 1)]
+    assert rows(items, "original_tag", "original_value") == [("x", "2")]
+    assert sorted(rows(rejected, "line_index")) == [(k,) for k in range(1, 7)]
+
+
 def test_insert_or_ignore(spark, rows):
     incoming = spark.createDataFrame([(1, 1, "x"), (1, 0, "y"), (2, 0, "z")], "k int, p int, v string")
     existing = spark.createDataFrame([(2,)], "k int")
@@ -195,21 +217,33 @@ def test_score_bound_applies_after_the_limit(spark):
     assert vectors.search(df, list(data[0]), limit=5, min_score=bound).count() == 3
 
 
-def test_null_short_and_zero_vectors_are_left_out(spark, rows):
+def test_null_and_zero_vectors_are_left_out(spark, rows):
     df = spark.createDataFrame(
-        [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0])], "id long, vector array<float>"
+        [(1, [1.0, 0.0]), (2, None), (4, [0.0, 0.0])], "id long, vector array<float>"
     )
     assert sorted(rows(vectors.search(df, [1.0, 0.0]), "id")) == [(1,), (4,)]
     assert rows(vectors.search(df, [1.0, 0.0], metric="cosine"), "id") == [(1,)]
 
 
-def test_many_queries_in_several_passes(spark, monkeypatch):
+def test_other_dimensions_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (3, [1.0])], "id long, vector array<float>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, query_vector array<double>")
+    with pytest.raises(Exception, match="length"):
+        vectors.search(df, [1.0, 0.0]).collect()
+    with pytest.raises(Exception, match="length"):
+        vectors.search_many(df, asked).collect()
+
+
+def test_many_queries_in_blocks(spark, monkeypatch):
     df, data = vector_frame(spark)
     queries = spark.createDataFrame(
         [(i, [float(x) for x in data[i * 10]]) for i in range(9)],
         "query_id long, query_vector array<double>",
     )
-    monkeypatch.setattr(vectors, "QUERIES_PER_PASS", 4)
+    assert vectors.search_many(df, queries.limit(0)).collect() == []
+    assert vectors.search_many(df.limit(0), queries).collect() == []
+    monkeypatch.setattr(vectors, "QUERIES_PER_BLOCK", 4)
+    monkeypatch.setattr(vectors, "RECORDS_PER_BLOCK", 30)
     got = vectors.search_many(df, queries, limit=4).orderBy("query_id", "rank").collect()
     for q in range(9):
         expected = brute(data, data[q * 10], "l2", 4)
@@ -390,18 +424,62 @@ def test_filing_facts_end_to_end(spark, rows):
     assert facts_of_ticker(described(spark), fact_pages(spark), "A").count() == 1
 
 
-def test_facts_refresh_adds_only_absent_tickers(spark, tmp_path, rows):
+def test_facts_refresh_reads_new_filings_only(spark, tmp_path, rows):
     path = str(tmp_path / "facts")
     everyone = universe.securities_frame(
         spark, [{"ticker": t, "name": t, "exchange": "X"} for t in ("A", "B")]
     )
     first = refresh_facts(everyone.filter("ticker = 'A'"), described(spark), fact_pages(spark), path)
     assert rows(first, "ticker", "fact_value") == [("A", 100.0)]
+    assert [f.name for f in first.schema] == NUMERIC_FACTS.fieldNames()
     changed = fact_pages(spark).withColumn("html", F.replace("html", F.lit("100"), F.lit("999")))
     second = refresh_facts(everyone, described(spark), changed, path)
     assert sorted(rows(second, "ticker", "fact_value")) == [("A", 100.0), ("B", 200.0)]
-    third = refresh_facts(everyone, described(spark), fact_pages(spark).filter("false"), path)
-    assert third.count() == 2
+    # Filing 4 is a new one of a stored ticker without any fact, filing 3 gets its address late.
+    late = described(spark).withColumn("xbrl_instance_url", F.lit("u"))
+    late = late.unionByName(late.filter("filing_id = 1").withColumn("filing_id", F.lit(4)))
+    third = refresh_facts(everyone, late, fact_pages(spark), path)
+    assert sorted(rows(third, "ticker", "fact_value")) == [("A", 100.0), ("B", 200.0), ("B", 300.0)]
+    fourth = refresh_facts(everyone, late, fact_pages(spark).filter("false"), path)
+    assert fourth.count() == 3
+    log = sorted(rows(spark.read.parquet(f"{path}.read"), "filing_key"))
+    assert log == [("1",), ("2",), ("3",), ("4",)]
+
+
+def test_facts_refresh_without_facts_and_with_digits(spark, tmp_path, rows):
+    path = str(tmp_path / "facts")
+    digits = {"A": "0700", "B": "0005"}
+    renamed = described(spark).replace(digits, subset=["ticker"])
+    everyone = universe.securities_frame(
+        spark, [{"ticker": t, "name": t, "exchange": "X"} for t in digits.values()]
+    )
+    blank = fact_pages(spark).withColumn("html", F.lit("<p>none</p>"))
+    assert refresh_facts(everyone, renamed, blank, path).collect() == []
+    other = str(tmp_path / "other")
+    for _ in range(2):
+        got = refresh_facts(everyone, renamed, fact_pages(spark), other)
+        assert sorted(rows(got, "ticker", "fact_value")) == [("0005", 200.0), ("0700", 100.0)]
+
+
+def test_failed_replacement_keeps_the_old_table(spark, tmp_path, rows, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    files, target, jvm = tables._files(spark, path)
+
+    class Refusing:
+        calls = 0
+
+        def __getattr__(self, name):
+            return getattr(files, name)
+
+        def rename(self, a, b):
+            self.calls += 1
+            return False if self.calls == 2 else files.rename(a, b)
+
+    monkeypatch.setattr(tables, "_files", lambda *_: (Refusing(), target, jvm))
+    with pytest.raises(OSError):
+        tables.replace_table(spark.range(9), path, "parquet")
+    assert spark.read.parquet(path).count() == 3
 
 
 def test_knowledge_base_records(spark, tmp_path, rows):

@@ -168,15 +168,18 @@ def test_dedup_keeps_the_first_frame(spark, rows):
     ]
 
 
-def test_per_ticker_pages_stay_small(spark):
+def test_per_ticker_lists_keep_date_order(spark):
+    year = 2000 + F.col("id") % 20
     many = spark.range(500).select(
         F.when(F.col("id") < 400, "HOT").otherwise(F.concat(F.lit("T"), "id")).alias("ticker"),
-        F.lit("2024-01-01").alias("filingDate"),
+        year.alias("filing_year"),
+        F.concat(year.cast("string"), F.lit("-0"), (1 + F.col("id") % 9).cast("string")).alias("filingDate"),
         F.col("id").cast("string").alias("accessionNumber"),
         F.lit("1").alias("cik"),
         F.lit("u").alias("documents_url"),
     )
-    pages = filings.filings_per_ticker(many, page_size=50)
-    hot = [len(r["filings"]) for r in pages.filter("ticker = 'HOT'").collect()]
-    assert sum(hot) == 400 and len(hot) > 4 and max(hot) < 120
-    assert pages.filter("ticker != 'HOT'").count() == 100
+    lists = filings.filings_per_ticker(many)
+    hot = lists.filter("ticker = 'HOT'").orderBy("filing_year").collect()
+    dates = [f["filingDate"] for r in hot for f in r["filings"]]
+    assert len(hot) == 20 and len(dates) == 400 and dates == sorted(dates)
+    assert lists.filter("ticker != 'HOT'").count() == 100
