@@ -1,4 +1,4 @@
-"""One query per operator on the driver's tables, and SQL where SQL can express one."""
+"""One query per operator on the driver's tables."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from factloom.llm import ann, bpe, decontaminate, hash_tree, language_model, pii, simhash
 from factloom.llm import token_counts, toxicity, url_graph
 from factloom.llm.common import send_package, table
+from factloom.llm.oracles import ORACLES as ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 SHARDS = 16
 
 
