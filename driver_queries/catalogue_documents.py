@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driver_queries import adapters as A
 from driver_queries.catalogue import query, text_of
 from factloom.operators import content, facts, filings, ixbrl, render, sections
+from factloom.plans import knowledge_base
 from factloom.sources.html import document_parts, page_text, visible_text
 
 # --- inline documents --------------------------------------------------------
@@ -134,6 +135,16 @@ def vector_records(spark, sf):
     )
 
 
+@query
+def knowledge_base_records(spark, sf):
+    """The whole job: read each valid filing once, render it with its own facts, cut it."""
+    described = A.raw_filings(spark, sf).withColumn("filing_id", F.col("o_orderkey"))
+    records = knowledge_base.knowledge_base_records(
+        described, A.filing_pages(spark, sf), 2, 1994, 2100
+    )
+    return records.select("ticker", "source", "section", "date", F.md5("text").alias("digest"))
+
+
 # --- pages -------------------------------------------------------------------
 
 

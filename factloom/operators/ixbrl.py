@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.constants import BLANK_HEADING_TITLE, NO_HEADING_TITLE
@@ -29,15 +29,21 @@ FACT_COLUMNS = [
 ]
 
 
-def inline_facts(parts: DataFrame) -> DataFrame:
-    """Instance facts from the fact tags of a document, without any shuffle.
+PART_KEYS = [
+    "filing_id", "pos", "end_pos", "kind", "reached", "tag", "text", "name", "fact_id",
+]
+
+
+def _is_named_fact() -> Column:
+    return (F.col("kind") == "fact") & F.col("name").isNotNull()
 
-    Columns carried along by the reader, such as ticker and dates, are kept.
+
+def _fact_values() -> dict[str, Column]:
+    """The columns of a fact from those of its tag.
 
     The number is the text without separators, scaled by a power of ten and
     signed; a zero format means 0, a comma format swaps the separators.
     """
-    tags = parts.filter((F.col("kind") == "fact") & F.col("name").isNotNull())
     gaps = " \xa0\t\r\n"
     form = F.lower(F.col("format"))
     swapped = (
@@ -57,27 +63,54 @@ def inline_facts(parts: DataFrame) -> DataFrame:
     numeric = F.col("tag").endswith("nonfraction")
     local = F.substring_index("name", ":", -1)
     is_instant = F.col("instant").isNotNull()
+    return {
+        "concept_name": local,
+        "prefix": F.when(F.col("name").contains(":"), F.substring_index("name", ":", 1)),
+        "schema_url": F.col("schema_url"),
+        "fact_type": F.when(numeric, F.lit(NUMERIC)).otherwise(F.lit(TEXT)),
+        "value": F.when(numeric, scaled).otherwise(F.col("text")),
+        "unit": F.col("unit"),
+        "decimals": F.col("decimals"),
+        "precision": F.col("precision"),
+        "context_ref": F.col("context_ref"),
+        "context_id": F.when(F.col("context_ref") != "", F.col("context_ref")),
+        "context_entity": F.col("entity"),
+        "context_scenario": F.col("scenario"),
+        "period_instant": F.col("instant").try_cast("date"),
+        "period_start": F.when(~is_instant, F.col("start").try_cast("date")),
+        "period_end": F.when(~is_instant, F.col("end").try_cast("date")),
+    }
+
+
+def inline_facts(parts: DataFrame) -> DataFrame:
+    """Instance facts from the fact tags of a document, without any shuffle.
+
+    Columns carried along by the reader, such as ticker and dates, are kept.
+    """
     carried = [c for c in parts.columns if c not in ("filing_id", *PART_COLUMNS)]
-    return tags.select(
-        "filing_id",
-        *carried,
-        "fact_id",
-        "pos",
-        local.alias("concept_name"),
-        F.when(F.col("name").contains(":"), F.substring_index("name", ":", 1)).alias("prefix"),
-        "schema_url",
-        F.when(numeric, F.lit(NUMERIC)).otherwise(F.lit(TEXT)).alias("fact_type"),
-        F.when(numeric, scaled).otherwise(F.col("text")).alias("value"),
-        "unit",
-        "decimals",
-        "precision",
-        "context_ref",
-        F.when(F.col("context_ref") != "", F.col("context_ref")).alias("context_id"),
-        F.col("entity").alias("context_entity"),
-        F.col("scenario").alias("context_scenario"),
-        F.col("instant").try_cast("date").alias("period_instant"),
-        F.when(~is_instant, F.col("start").try_cast("date")).alias("period_start"),
-        F.when(~is_instant, F.col("end").try_cast("date")).alias("period_end"),
+    values = [value.alias(name) for name, value in _fact_values().items()]
+    return parts.filter(_is_named_fact()).select("filing_id", *carried, "fact_id", "pos", *values)
+
+
+def own_facts(parts: DataFrame) -> DataFrame:
+    """Parts matched with the facts of their own document, from one reading of it.
+
+    The same rows as matching with :func:`inline_facts` of the parts: of equal ids the last fact
+    stands. The parts of a filing stay together for the walk over the document.
+    """
+    known = _is_named_fact() & present(F.col("fact_id"))
+    values = _fact_values()
+    fact = F.when(known, F.struct(*[values[name].alias(name) for name in FACT_COLUMNS]))
+    same_id = (
+        Window.partitionBy("filing_id", "fact_id")
+        .orderBy("pos")
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
+    return (
+        parts.select(*PART_KEYS, fact.alias("fact"))
+        .repartition("filing_id")
+        .withColumn("fact", F.last("fact", ignorenulls=True).over(same_id))
+        .select(*PART_KEYS, "fact.*", F.col("fact").isNotNull().alias("matched"))
     )
 
 
@@ -94,9 +127,7 @@ def match_facts(parts: DataFrame, facts: DataFrame) -> DataFrame:
     """
     have = [c for c in FACT_COLUMNS if c in facts.columns]
     right = last_fact_per_id(facts).select("filing_id", "fact_id", *have, F.lit(True).alias("hit"))
-    left = parts.select(
-        "filing_id", "pos", "end_pos", "kind", "reached", "tag", "text", "name", "fact_id"
-    )
+    left = parts.select(*PART_KEYS)
     return left.join(right, ["filing_id", "fact_id"], "left").withColumn(
         "matched", F.coalesce("hit", F.lit(False))
     ).drop("hit")

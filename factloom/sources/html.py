@@ -246,8 +246,9 @@ class _PartReader(_NodeReader):
 
 def read_parts(html: str) -> list[dict]:
     """Parts of one document; empty unless some fact tag carries an id."""
+    lowered = html.lower()
     for fact_tags in (PREFIXED_FACTS, BARE_FACTS):
-        if not any(t in html.lower() for t in fact_tags):
+        if not any(t in lowered for t in fact_tags):
             continue
         rows = _PartReader(fact_tags).read(html).finish()
         if any(r["kind"] == "fact" and r["fact_id"] for r in rows):

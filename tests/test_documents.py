@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import content, facts, ixbrl, render, sections
 from factloom.operators.filings import xbrl_links
+from factloom.plans import knowledge_base
 from factloom.sources.html import document_parts, page_text, visible_strings, visible_text
 
 # A harbour's yearly report: a lead without heading, a list, a table, and a fact nobody knows.
@@ -102,6 +103,20 @@ def test_match_report(spark):
     assert ixbrl.name_mismatches(matched).count() == 3
 
 
+def test_own_facts_are_those_of_the_document(spark, rows):
+    again = '<ix:nonFraction id="dues" name="us-gaap:PortDues" unitRef="eur">7</ix:nonFraction>'
+    nameless = '<ix:nonNumeric id="pilots">no name</ix:nonNumeric><ix:nonNumeric name="a:b">x</ix:nonNumeric>'
+    html = PAGE.replace("<p>Works", again + nameless + "<p>Works")
+    parts = document_parts(pages(spark, html, PAGE, "<p>none</p>"))
+    want = ixbrl.match_facts(parts, ixbrl.inline_facts(parts))
+    got = ixbrl.own_facts(parts)
+    assert set(got.columns) == set(want.columns)
+    order = sorted(want.columns)
+    assert sorted(map(str, rows(got, *order))) == sorted(map(str, rows(want, *order)))
+    plan = knowledge_base.rendered_filings(pages(spark, html), 2)._jdf.queryExecution().toString()
+    assert plan.split("Physical Plan")[1].count("MapInArrow") == 1
+
+
 def test_the_last_fact_of_an_id_stands(spark, rows):
     twice = known(spark).unionByName(
         known(spark).filter("fact_id = 'dues'").withColumns(
