@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
@@ -9,14 +11,15 @@ from pyspark.sql import functions as F
 from driver_queries import adapters as A
 from driver_queries import catalogue as base
 from driver_queries.catalogue import STAMP, YEARS, query
+from factloom.functions import text
 from factloom.functions.vectors import fit_dimension
-from factloom.operators import annotations, filings, vectors
+from factloom.operators import align, annotations, filings, vectors
 from factloom.plans.collect import collect_filings
-from factloom.plans.facts import refresh_facts
+from factloom.plans.facts import facts_of_ticker, refresh_facts
 from factloom.plans.knowledge_base import store_filing_texts
 from factloom.schemas import FILINGS
-from factloom.session import scratch_path
-from factloom.sources import tables
+from factloom.session import cut_lineage, scratch_path
+from factloom.sources import submissions, tables
 from factloom.sources.jsonl import numbered_lines, read_records
 from factloom.streaming.annotations import absorb_saves
 
@@ -425,3 +428,86 @@ def filing_texts_twice(spark, sf):
     store_filing_texts(described.drop("lang"), raw, path)
     stored = spark.read.schema("ticker string, year string, accessionNumber string, raw string").parquet(path)
     return stored.select("ticker", "year", "accessionNumber", F.length("raw").alias("n_chars"))
+
+
+# --- files, catalog tables and helpers ---------------------------------------
+
+
+@query
+def submissions_read(spark, sf):
+    """Index documents as text: the newest filings of a company below a key, or at the root."""
+    raw = A.raw_filings(spark, sf)
+    fields = ["accessionNumber", "filingDate", "reportDate", "form", "primaryDocument"]
+    order = F.array_sort(F.collect_list(F.struct("o_orderkey", *fields)))
+    grouped = raw.groupBy("cik").agg(order.alias("rows"))
+    lists = F.struct(*[F.col(f"rows.{f}").alias(f) for f in fields])
+    nested = F.to_json(F.struct(F.struct(lists.alias("recent")).alias("filings")))
+    files = grouped.select(
+        F.lpad("cik", 10, "0").alias("cik"),
+        F.lit(0).alias("source_rank"),
+        F.concat(F.lit("CIK"), F.lpad("cik", 10, "0"), F.lit(".json")).alias("file_name"),
+        F.when(F.col("cik").endswith("2"), nested).otherwise(F.to_json(lists)).alias("value"),
+    )
+    found = submissions.filings_from_json(files)
+    return found.select("cik", "position", "accessionNumber", "filingDate", "form")
+
+
+@query
+def revenue_csv(spark, sf):
+    """The revenue series written as CSV with a header and read again."""
+    path = scratch_path(spark, "revenue")
+    tables.write_csv(base.revenue_series(spark, sf), path)
+    schema = "ticker string, year bigint, revenue double, unit string, report_date string"
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+@query
+def vector_table(spark, sf):
+    """Rows are added, cleared, and added again in two parts."""
+    store = tables.VectorTable(spark, scratch_path(spark, "vectors"), 16)
+    docs = A.vectors(spark, sf).select(
+        "ticker", F.col("id").cast("string").alias("text"), "vector", "label"
+    )
+    store.add(docs, "2024-01-01")
+    store.clear()
+    for part in (0, 1):
+        store.add(docs.filter(F.col("label") % 2 == part).drop("label"), f"2024-01-0{part + 1}")
+    return store.read().select("ticker", "text", "date", F.size("vector").alias("dim"))
+
+
+@query
+def facts_of_one_ticker(spark, sf):
+    """Facts of one ticker, parsed and not stored."""
+    facts = facts_of_ticker(_described(spark, sf), A.filing_pages(spark, sf), "T000002")
+    return _fact_totals(facts)
+
+
+@query
+def facts_with_metadata(spark, sf):
+    """Facts appended twice to a catalog table with other metadata each time."""
+    name = f"facts_{uuid.uuid4().hex}"
+    path = scratch_path(spark, "catalog")
+    numeric = A.numeric_facts(spark, sf).select("concept_name", "fact_value", "ticker")
+    spark.sql(
+        f"CREATE TABLE {name} (concept_name STRING, fact_value DOUBLE, ticker STRING, form STRING)"
+        f" USING parquet LOCATION '{path}'"
+    )
+    for form in ("10-K", "10-Q"):
+        tables.append_facts(numeric, name, {"form": form})
+    stored = spark.table(name).groupBy("form", "concept_name").agg(F.count("*").alias("n_facts"))
+    rows = cut_lineage(stored, "stored")
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+@query
+def text_helpers(spark, sf):
+    """Names made safe for files, and texts cut after 200 characters."""
+    docs = align.require(A.table(spark, sf, "documents"), ["doc_id", "text", "lang", "source"])
+    docs = align.present_columns(docs, ["doc_id", "source", "text", "no_such_column"])
+    name = F.concat("source", F.lit("/a b."), F.col("doc_id").cast("string"))
+    return docs.select(
+        "doc_id",
+        text.normalise_name(name).alias("name"),
+        F.md5(text.truncate(F.col("text"), 200)).alias("digest"),
+    )

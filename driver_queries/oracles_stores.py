@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driver_queries.oracles import FACTS, LINES, ORACLES, SECURITIES, TAGS, oracle
+from driver_queries.oracles import FACTS, LINES, ORACLES, RAW, SECURITIES, TAGS, oracle
 
 # --- annotation workflow -----------------------------------------------------
 
@@ -196,3 +196,29 @@ oracle(
     QUALIFY row_number() OVER (PARTITION BY ticker, year
       ORDER BY lang <> 'en', accessionNumber) = 1""",
 )
+
+# --- files, catalog tables and helpers ---------------------------------------
+
+oracle(
+    "submissions_read",
+    f"""WITH {RAW} SELECT cik, row_number() OVER (PARTITION BY cik ORDER BY o_orderkey) - 1
+      AS position, accessionNumber, filingDate, form FROM raw""",
+)
+oracle("revenue_csv", ORACLES["revenue_series"])
+oracle(
+    "vector_table",
+    """SELECT 'L' || label AS ticker, CAST(vec_id AS VARCHAR) AS text,
+      '2024-01-0' || (label % 2 + 1) AS date, 16 AS dim FROM embeddings""",
+)
+oracle("facts_of_one_ticker", f"SELECT * FROM ({_totals('ticker')}) WHERE ticker = 'T000002'")
+oracle(
+    "facts_with_metadata",
+    f"""WITH {FACTS} SELECT form, concept_name, count(*) AS n_facts
+    FROM facts, (VALUES ('10-K'), ('10-Q')) f(form) GROUP BY form, concept_name""",
+)
+oracle(
+    "text_helpers",
+    """SELECT doc_id, source || '_a_b_' || doc_id AS name,
+      md5(CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END) AS digest
+    FROM documents""",
+)
