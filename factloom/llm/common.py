@@ -15,13 +15,20 @@ import factloom
 
 ROW = "__row"
 _SENT: set[str] = set()
+#: Texts may be long, so what Python workers get at once is bounded in rows and in bytes.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
-def send_package(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started; once per session.
+def prepare(spark: SparkSession) -> None:
+    """Settings for work on texts, and this package for Python workers, wherever the driver runs.
 
-    The driver zips its own copy and Spark hands that to all executors.
+    The driver zips its own copy once per session and Spark hands that to all executors.
     """
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
     session = spark.sparkContext.applicationId
     if session in _SENT:
         return

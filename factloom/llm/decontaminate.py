@@ -25,7 +25,7 @@ from factloom.session import cut_lineage
 
 WINDOW, SHINGLE = 13, 3
 #: Bytes of text that are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 #: Bits of a bitmap for each shingle it holds, and the most bits it has (8 MB).
 BITS_EACH, MOST_BITS = 1024, 1 << 26
 #: Word characters after lower-casing: 0-9, a-z and all but ASCII; any other byte ends a word.

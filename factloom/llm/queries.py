@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import ann, bpe, decontaminate, hash_tree, language_model, pii, simhash
 from factloom.llm import token_counts, toxicity, url_graph
-from factloom.llm.common import send_package, table
+from factloom.llm.common import prepare, table
 from factloom.llm.oracles import ORACLES as ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +20,7 @@ SHARDS = 16
 def query(fn):
     @wraps(fn)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        send_package(spark)
+        prepare(spark)
         return fn(spark, sf)
 
     QUERIES[fn.__name__] = run
