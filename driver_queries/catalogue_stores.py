@@ -248,7 +248,12 @@ def ann_search(spark, sf):
     asked = _label_centres(spark, sf)
     found = vectors.search_cells(stored, centres, asked, probes=PROBES)
     exact = vectors.search_many(A.vectors(spark, sf), asked, limit=EXACT)
-    exact = exact.select("query_id", "id", F.col("distance").alias("true_distance"), F.col("rank").alias("place"))
+    exact = exact.select(
+        "query_id",
+        "id",
+        F.col("distance").alias("true_distance"),
+        F.col("rank").alias("place"),
+    )
     met = found.join(exact, ["query_id", "id"], "left")
     near = F.abs(F.col("distance") - F.col("true_distance")) < 1e-9
     return met.groupBy("query_id").agg(
@@ -415,7 +420,9 @@ def filing_texts_twice(spark, sf):
     described = docs.select(
         F.col("source").alias("ticker"),
         F.lit("1").alias("cik"),
-        F.when(F.col("doc_id") % 7 == 0, F.lit("odd")).otherwise(F.concat(year, F.lit("-02-20"))).alias("filingDate"),
+        F.when(F.col("doc_id") % 7 == 0, F.lit("odd"))
+        .otherwise(F.concat(year, F.lit("-02-20")))
+        .alias("filingDate"),
         number.alias("accessionNumber"),
         F.lit(None).cast("string").alias("documents_url"),
         "lang",
@@ -426,7 +433,8 @@ def filing_texts_twice(spark, sf):
     )
     store_filing_texts(described.filter("lang = 'en'").drop("lang"), raw, path)
     store_filing_texts(described.drop("lang"), raw, path)
-    stored = spark.read.schema("ticker string, year string, accessionNumber string, raw string").parquet(path)
+    schema = "ticker string, year string, accessionNumber string, raw string"
+    stored = spark.read.schema(schema).parquet(path)
     return stored.select("ticker", "year", "accessionNumber", F.length("raw").alias("n_chars"))
 
 

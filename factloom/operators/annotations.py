@@ -137,9 +137,8 @@ def match_items_to_facts(
 
     ``items`` carries ``ticker`` and ``fy``. Facts of other concepts are left
     out before the shuffle; items without a mapped tag and items without a fact
-    stay, told apart by ``outcome``. Matches come from an inner join, whose
-    heavy keys can be split on both sides; the rest from an anti join against
-    the distinct keys.
+    stay, told apart by ``outcome``. Both sides are read once; heavy keys of the
+    items can be split, and a concept has few facts of a ticker and year.
     """
     keys = ["tag", "ticker", "fy"]
     concepts = F.broadcast(tag_table(items.sparkSession, tags))
@@ -147,14 +146,16 @@ def match_items_to_facts(
         facts.join(concepts, "concept_name")
         .withColumn("fy", F.year("report_date").cast("bigint"))
         .filter(F.col("fy").isNotNull())
+        .withColumn("__met", F.lit(True))
     )
     wanted = items.withColumnRenamed("original_tag", "tag")
-    matched = wanted.join(candidates, keys).withColumn("outcome", F.lit(MATCHED))
     known = F.coalesce(F.col("tag").isin(list(dict.fromkeys(tags.values()))), F.lit(False))
-    rest = wanted.join(candidates.select(*keys).distinct(), keys, "left_anti").withColumn(
-        "outcome", F.when(known, F.lit(NO_MATCH)).otherwise(F.lit(UNMAPPED))
+    outcome = (
+        F.when(F.col("__met"), F.lit(MATCHED))
+        .when(known, F.lit(NO_MATCH))
+        .otherwise(F.lit(UNMAPPED))
     )
-    return matched.unionByName(rest, allowMissingColumns=True)
+    return wanted.join(candidates, keys, "left").withColumn("outcome", outcome).drop("__met")
 
 
 def record_ids(records: DataFrame, file_name: str) -> DataFrame:

@@ -37,12 +37,17 @@ def concept_coverage(facts: DataFrame) -> DataFrame:
     them count as one more filing. The distinct step shuffles on concept, date
     and ticker together, so one dominant concept is spread over all tasks.
     """
+    return _coverage(_appearances(facts))
+
+
+def _appearances(facts: DataFrame) -> DataFrame:
+    return facts.select("concept_name", "filing_date", "ticker").distinct()
+
+
+def _coverage(appearances: DataFrame) -> DataFrame:
     known = F.col("filing_date").isNotNull() & F.col("ticker").isNotNull()
-    return (
-        facts.select("concept_name", "filing_date", "ticker")
-        .distinct()
-        .groupBy("concept_name")
-        .agg((F.count_if(known) + F.max((~known).cast("bigint"))).alias("num_filings"))
+    return appearances.groupBy("concept_name").agg(
+        (F.count_if(known) + F.max((~known).cast("bigint"))).alias("num_filings")
     )
 
 
@@ -51,14 +56,19 @@ def filing_count(facts: DataFrame) -> DataFrame:
 
 
 def concepts_with_share(facts: DataFrame, share: float) -> DataFrame:
-    """Concepts found in at least ``share`` of all filings."""
-    total = filing_count(facts).scalar()
-    return concept_coverage(facts).filter(F.col("num_filings") >= total * F.lit(share))
+    """Concepts found in at least ``share`` of all filings.
+
+    Both counts come from the same distinct rows, so the facts are shuffled once.
+    """
+    appearances = _appearances(facts)
+    total = filing_count(appearances).scalar()
+    return _coverage(appearances).filter(F.col("num_filings") >= total * F.lit(share))
 
 
 def concepts_in_all_filings(facts: DataFrame) -> DataFrame:
-    total = filing_count(facts).scalar()
-    return concept_coverage(facts).filter(F.col("num_filings") == total)
+    appearances = _appearances(facts)
+    total = filing_count(appearances).scalar()
+    return _coverage(appearances).filter(F.col("num_filings") == total)
 
 
 def top_coverage(facts: DataFrame, share: float = 0.9, n: int = 10) -> DataFrame:
