@@ -72,8 +72,10 @@ def _hash_words(words: list[bytes]) -> np.ndarray:
             powers, inverse = _powers(_BASE, size + 1), np.ones(1, dtype=np.uint64)
         else:
             powers, inverse = _POWERS, _INVERSE
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat + np.uint64(1)) * powers[:size])])
-        out.append(_mixed((sums[ends] - sums[starts]) * inverse[starts] + ends.astype(np.uint64) - starts.astype(np.uint64)))
+        terms = np.cumsum((flat + np.uint64(1)) * powers[:size])
+        sums = np.concatenate([np.zeros(1, np.uint64), terms])
+        own = (sums[ends] - sums[starts]) * inverse[starts]
+        out.append(_mixed(own + (ends - starts).astype(np.uint64)))
         k = end
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
@@ -218,17 +220,13 @@ def _candidates(docs: DataFrame, key: str, text: str, cells, lengths, window) ->
 def covered(spans: Column) -> Column:
     """How many places the spans (``begin``, ``end`` exclusive; sorted) cover."""
     zero = F.struct(F.lit(0).alias("count"), F.lit(0).alias("reach"))
-    return F.aggregate(
-        spans,
-        zero,
-        lambda a, x: F.struct(
-            (a["count"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["begin"], a["reach"]))).alias(
-                "count"
-            ),
-            F.greatest(a["reach"], x["end"]).alias("reach"),
-        ),
-        lambda a: a["count"].cast("long"),
-    )
+
+    def add(a, x):
+        more = F.greatest(F.lit(0), x["end"] - F.greatest(x["begin"], a["reach"]))
+        reach = F.greatest(a["reach"], x["end"])
+        return F.struct((a["count"] + more).alias("count"), reach.alias("reach"))
+
+    return F.aggregate(spans, zero, add, lambda a: a["count"].cast("long"))
 
 
 def overlaps(

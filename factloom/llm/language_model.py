@@ -189,7 +189,7 @@ class Trainer:
 
 
 def _flat(parameters: Parameters) -> np.ndarray:
-    """All parameters as rows of one width: context, places, target, intercepts in the last column."""
+    """All parameters as rows: context, places, target, and intercepts in the last column."""
     width = parameters.context.shape[1]
     rows = np.concatenate([parameters.context, parameters.places, parameters.target])
     bias = np.zeros(len(rows), dtype=rows.dtype)
@@ -227,7 +227,9 @@ def _groups(batch: pa.Array) -> Iterator[list]:
         yield group
 
 
-def train(texts: DataFrame, key: str, text: str, counts: Counts, rounds: int = ROUNDS) -> Parameters:
+def train(
+    texts: DataFrame, key: str, text: str, counts: Counts, rounds: int = ROUNDS
+) -> Parameters:
     """Parameters after each row of ``texts`` was learned from once, in ``rounds`` rounds."""
     spark, noise = texts.sparkSession, noise_of(counts)
     place = {word.encode(): k for k, word in enumerate(counts.classes) if k > END_CLASS}
@@ -274,7 +276,8 @@ class Scorer:
         self.place = {word.encode(): k for k, word in enumerate(words)}
         number = {word: k for k, word in enumerate(counts.classes)}
         self.classes = np.array([number.get(w, OTHER_CLASS) for w in words] + [OTHER_CLASS])
-        seen = np.array([counts.class_tokens[END_CLASS], *(counts.hot[w] for w in words[1:])], float)
+        ends = counts.class_tokens[END_CLASS]
+        seen = np.array([ends, *(counts.hot[w] for w in words[1:])], float)
         base = np.log10((seen + 1) / (counts.tokens + counts.distinct + 1))
         other = np.log10((seen + 1) / (counts.other_tokens + counts.other_distinct + 1))
         #: The last entry stands for words that are counted elsewhere.
@@ -338,7 +341,9 @@ class Scorer:
 RARE = "array<struct<word:string,times:long>>"
 
 
-def _scored(docs: DataFrame, key: str, text: str, parameters: Parameters, counts: Counts) -> DataFrame:
+def _scored(
+    docs: DataFrame, key: str, text: str, parameters: Parameters, counts: Counts
+) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((parameters, counts))
     shape = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
 

@@ -1,10 +1,11 @@
 """Toxicity by a classifier chain over categories.
 
 Each link of the chain is a linear model on the presence of chosen words and stems and on the
-probabilities of all earlier links. While a link is trained, the earlier probabilities of a document come from models
-that have not seen that document (out-of-fold), as they will when new documents are scored. The last
-category is the given label; the earlier ones are the label narrowed to documents that use a word of
-a short list. The threshold is the one with the best F1 on out-of-fold predictions.
+probabilities of all earlier links. While a link is trained, the earlier probabilities of a document
+come from models that have not seen that document (out-of-fold), as they will when new documents are
+scored. The last category is the given label; the earlier ones are the label narrowed to documents
+that use a word of a short list. The threshold is the one with the best F1 on out-of-fold
+predictions.
 
 Models are fitted on a bounded, documented sample of labelled rows; all documents are scored.
 """

@@ -80,7 +80,8 @@ def judged_by_rules(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 def host_links(pages: DataFrame) -> DataFrame:
     """``src, dst, weight``: addresses in pages and the domain above each host, without loops."""
     src = host_of(F.col("url"))
-    found = pages.select(src.alias("src"), F.regexp_extract_all("html", F.lit(ADDRESS), 1).alias("to"))
+    addresses = F.regexp_extract_all("html", F.lit(ADDRESS), 1)
+    found = pages.select(src.alias("src"), addresses.alias("to"))
     linked = (
         found.filter("src != ''")
         .select("src", F.explode("to").alias("to"))
@@ -135,9 +136,10 @@ def propagated(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Data
     ranks = base
     restart = base.select("kind", "host", (F.col("rank") * (1 - DAMPING)).alias("rank"))
     for _ in range(rounds):
+        passed = (F.col("rank") * F.col("share") * DAMPING).alias("rank")
         moved = edges.join(
             ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]
-        ).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
+        ).select("kind", F.col("dst").alias("host"), passed)
         ranks = cut_lineage(
             moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks"
         )
