@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import encoder, vocabulary_path
+from factloom.session import cut_lineage
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Lengths that are summed in one group; groups are summed among themselves.
@@ -29,7 +30,7 @@ def token_count(text: Column, vocabulary: str = VOCABULARY, pattern: str | None
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(vocabulary_path(vocabulary), pattern)
         for texts in batches:
-            yield pd.Series([len(own.encode(x)) // 4 for x in texts], dtype="int64")
+            yield pd.Series([len(ids) // 4 for ids in own.encode_all(texts)], dtype="int64")
 
     return count(text)
 
@@ -38,10 +39,11 @@ def length_histogram(docs: DataFrame, text: str = "text", **options) -> DataFram
     """``n_tokens, n_docs``: how many rows of ``docs`` have each length.
 
     Null and empty texts have length 0, repeated rows count as often as they come, an empty table
-    gives no rows.
+    gives no rows. The histogram is written to the shared folder, so no answer encodes again.
     """
     lengths = docs.select(token_count(F.col(text), **options).alias("n_tokens"))
-    return lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    return cut_lineage(counts, "lengths")
 
 
 def context_totals(histogram: DataFrame, limits: DataFrame | None = None) -> DataFrame:
@@ -55,9 +57,10 @@ def context_totals(histogram: DataFrame, limits: DataFrame | None = None) -> Dat
     rows = histogram.select(F.col("n_tokens").alias("limit"), "n_docs")
     if limits is not None:
         asked = limits.select(F.col(limits.columns[0]).cast("long").alias("limit")).dropna()
-        rows = rows.withColumn("asked", F.lit(False)).unionByName(
-            asked.distinct().select("limit", F.lit(0).cast("long").alias("n_docs"), F.lit(True).alias("asked"))
+        asked = asked.distinct().withColumns(
+            {"n_docs": F.lit(0).cast("long"), "asked": F.lit(True)}
         )
+        rows = rows.withColumn("asked", F.lit(False)).unionByName(asked)
         rows = rows.groupBy("limit").agg(
             F.sum("n_docs").alias("n_docs"), F.max("asked").alias("asked")
         )
