@@ -11,9 +11,8 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,9 +28,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Byte b is the letter of code point FIRST_LETTER + b.
 FIRST_LETTER = 0x100
 LETTERS = {byte: chr(FIRST_LETTER + byte) for byte in range(256)}
-#: Pre-tokens that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
-#: Pre-tokens that are held at once while one text is encoded.
+#: Pre-tokens that a worker remembers, twice so many at most, and the longest of them.
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 32
+#: Characters of short texts, or pre-tokens of a long one, that are worked on at once.
 BLOCK = 1 << 18
 #: Field numbers of sentencepiece's public model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -98,6 +97,11 @@ class BytePairEncoder:
         ]
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _merged(self, mapped: list[str]) -> list[list[int]]:
+        # The library would else start threads for every call.
+        return self.model.encode(mapped, out_type=int, num_threads=1) if mapped else []
 
     def _fill(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of pre-tokens that are not remembered."""
@@ -109,33 +113,46 @@ class BytePairEncoder:
             else:
                 found[part] = ids
         mapped = [letters(part.encode()) for part in other]
-        for part, ids in zip(other, self.model.encode(mapped, out_type=int), strict=True):
-            found[part] = np.array(ids, dtype="<u4").tobytes()
+        for part, ids in zip(other, self._merged(mapped), strict=True):
+            found[part] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
-    def _ids(self, parts: list[str]) -> bytes:
+    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+        """Ids of several lists of pre-tokens; what none of them has met is encoded at once."""
         known = self.known
-        try:
-            return b"".join([known[part] for part in parts])
-        except KeyError:
-            found = self._fill({part for part in parts if part not in known})
-        if len(known) + len(found) > REMEMBERED:
-            found.update((part, known[part]) for part in parts if part in known)
-            known.clear()
-        ids = b"".join([known[part] if part in known else found[part] for part in parts])
-        for part, value in islice(found.items(), REMEMBERED):
-            if len(part) <= LONGEST_REMEMBERED:
-                known[part] = value
-        return ids
+        missing = {part for parts in lists for part in parts if part not in known}
+        if missing:
+            found = {part: self.older[part] for part in missing if part in self.older}
+            known.update(found)
+            known.update(self._fill(missing - found.keys()))
+        out = [b"".join([known[part] for part in parts]) for parts in lists]
+        for part in missing:
+            if len(part) > LONGEST_REMEMBERED:
+                del known[part]
+        if len(known) >= REMEMBERED:
+            # What was not met since the last turn is forgotten at this one.
+            self.older, self.known = known, {}
+        return out
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text; nothing for a null or empty one. Texts are worked on in blocks."""
+        split, lists, size = self.pattern.findall, [], 0
+        for text in texts:
+            if text and len(text) > BLOCK:
+                yield from self._ids(lists)
+                lists, size = [], 0
+                matches = (match.group() for match in self.pattern.finditer(text))
+                yield b"".join(self._ids([part])[0] for part in pieces(matches, BLOCK))
+                continue
+            lists.append(split(text) if text else [])
+            size += len(text or "")
+            if size >= BLOCK:
+                yield from self._ids(lists)
+                lists, size = [], 0
+        yield from self._ids(lists)
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a text; nothing for a null or empty one."""
-        if not text:
-            return b""
-        if len(text) <= BLOCK:
-            return self._ids(self.pattern.findall(text))
-        matches = (match.group() for match in self.pattern.finditer(text))
-        return b"".join(self._ids(part) for part in pieces(matches, BLOCK))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes | None) -> bytes:
         back = self.back
@@ -161,7 +178,7 @@ def encoded(text: Column, vocabulary: str = VOCABULARY, pattern: str | None = No
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(vocabulary_path(vocabulary), pattern)
         for texts in batches:
-            yield pd.Series([own.encode(x) for x in texts], dtype=object)
+            yield pd.Series(list(own.encode_all(texts)), dtype=object)
 
     return encode(text)
 
