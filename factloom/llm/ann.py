@@ -1,11 +1,11 @@
 """Nearest neighbours by inner product over several shifted Hilbert orderings.
 
 Vectors get one more component that makes all norms equal, so that the largest inner product is the
-nearest point. Each curve turns them to a few axes of its own, shifts and cuts these into a grid, and
-orders all rows by their place on the Hilbert curve through it. Spark partitions the rows of a curve
-by ranges of that key; runs of rows that follow each other form blocks. A query meets the rows of its
-own block and of the neighbouring blocks on every curve; what it finds on all of them is merged and
-ranked by the inner product of the original vectors.
+nearest point. Each curve turns them to a few axes of its own, shifts and cuts these into a grid,
+and orders all rows by their place on the Hilbert curve through it. Spark partitions the rows of a
+curve by ranges of that key; runs of rows that follow each other form blocks. A query meets the rows
+of its own block and of the neighbouring blocks on every curve; what it finds on all of them is
+merged and ranked by the inner product of the original vectors.
 
 How many neighbouring blocks are read is measured, not guessed: for a bounded sample of queries the
 true neighbours are found by comparison with all rows, and the window is the smallest that holds the
@@ -107,9 +107,17 @@ def _matrix(column) -> np.ndarray:
 
 
 def best_pairs(
-    queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, count: int
+    queries: np.ndarray,
+    query_ids: np.ndarray,
+    rows: np.ndarray,
+    ids: np.ndarray,
+    count: int,
+    floor: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the ``count`` rows of another id with the largest products, ties by id."""
+    """For each query the ``count`` rows of another id with the largest products, ties by id.
+
+    Rows whose product is below the query's ``floor`` may be left out.
+    """
     order = np.argsort(ids, kind="stable")
     rows, ids = rows[order], ids[order]
     product = queries @ rows.T
@@ -117,6 +125,8 @@ def best_pairs(
     least = np.full(len(queries), -np.inf)
     if product.shape[1] > count:
         least = np.partition(product, -count, axis=1)[:, -count]
+    if floor is not None:
+        least = np.maximum(least, floor)
     slack = 1e-9 * np.maximum(np.abs(np.where(np.isfinite(least), least, 0)), 1)
     who, what = np.nonzero((product >= (least - slack)[:, None]) & np.isfinite(product))
     exact = (queries[who] * rows[what]).sum(axis=1)
@@ -142,7 +152,8 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 def _merged(pairs: DataFrame, count: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = pairs.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
+    once = pairs.dropDuplicates(["query_id", "vec_id"])
+    ranked = once.withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= count)
 
 
@@ -250,8 +261,8 @@ def nearest(
 
     The row's own id is no neighbour of it; equal products go to the smaller id. Of rows with the
     same vector only the first ``count + 1`` ids can be anyone's neighbours, so only these and the
-    queries are indexed. Vectors of another length than most take no part, repeated rows count once, an empty table gives no rows, other columns are
-    left out.
+    queries are indexed. Vectors of another length than most take no part, repeated rows count once,
+    an empty table gives no rows, other columns are left out.
     """
     spark = vectors.sparkSession
     found = usable(vectors, key, vector)
@@ -278,24 +289,34 @@ def nearest(
     steps = window_for(blocks, rows, count, measured, wanted)
 
     stored = blocks.select("curve", "block", "id", "asked").join(rows.select("id", "vector"), "id")
-    reach = F.sequence(F.greatest(F.lit(0), F.col("block") - steps), F.col("block") + steps)
-    sent = stored.filter("asked").select("curve", F.explode(reach), "id", "vector")
-    sent = sent.toDF("on", "at", "query_id", "query")
+    met = stored.select("curve", "block", "id", "vector").groupBy("curve", "block")
 
     def meet(queries: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(near):
             return _frame(*(np.zeros(0, dtype=t) for t in (np.int64, np.int64, float)))
         left, right = _matrix(queries["query"]), _matrix(near["vector"])
         own, ids = queries["query_id"].to_numpy(), near["id"].to_numpy()
+        floor = queries["floor"].to_numpy()
         parts = [
-            best_pairs(left[k : k + block], own[k : k + block], right, ids, count)
-            for k in range(0, len(left), block)
+            best_pairs(left[part], own[part], right, ids, count, floor[part])
+            for part in (slice(k, k + block) for k in range(0, len(left), block))
         ]
         return _frame(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    pairs = (
-        sent.groupBy("on", "at")
-        .cogroup(stored.select("curve", "block", "id", "vector").groupBy("curve", "block"))
-        .applyInPandas(meet, PAIRS)
+    # Queries meet their own blocks first. What they find there bounds what can still matter, so
+    # the neighbouring blocks return only rows that are at least as near.
+    own = stored.filter("asked").select("curve", "block", "id", "vector")
+    lowest = F.lit(float("-inf"))
+    first = own.toDF("on", "at", "query_id", "query").withColumn("floor", lowest)
+    near = _merged(first.groupBy("on", "at").cogroup(met).applyInPandas(meet, PAIRS), count)
+    near = cut_lineage(near.select("query_id", "vec_id", "score"), "own-blocks")
+    bounds = near.groupBy("query_id").agg(
+        F.when(F.count("*") >= count, F.min("score")).otherwise(lowest).alias("floor")
     )
-    return _merged(pairs, count).select("query_id", "rank", "vec_id", "score")
+    reach = F.sequence(F.greatest(F.lit(0), F.col("block") - steps), F.col("block") + steps)
+    around = F.filter(reach, lambda b: b != F.col("block"))
+    sent = own.select("curve", F.explode(around), "id", "vector")
+    sent = sent.toDF("on", "at", "query_id", "query").join(bounds, "query_id", "left")
+    sent = sent.withColumn("floor", F.coalesce("floor", lowest))
+    more = sent.groupBy("on", "at").cogroup(met).applyInPandas(meet, PAIRS)
+    return _merged(near.union(more), count).select("query_id", "rank", "vec_id", "score")
