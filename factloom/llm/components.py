@@ -34,6 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     Every round writes its links to the shared folder, so a lost executor costs one round. Self
     links, repeated links and both directions may occur; an empty table gives an empty one.
     """
+    links = cut_lineage(links.select("a", "b"), "found-links")
     nodes_only = links.filter("a = b").select(F.col("a").alias("node")).distinct()
     turned = links.filter("a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")

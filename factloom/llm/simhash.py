@@ -26,7 +26,7 @@ from factloom.session import cut_lineage
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a tile, of a run within a tile, and shingles whose bits are counted at once.
-TILE, RUN, COUNTED = 65_536, 256, 65_536
+TILE, RUN, COUNTED = 65_536, 128, 65_536
 
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -163,7 +163,8 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE)
         for other in range(bits, bits + radius + 1)
     )
     cores = spark.sparkContext.defaultParallelism
-    pairs = pairs.repartition(min(number, max(4 * cores, number // 16)), F.xxhash64("left", "right"))
+    tasks = min(number, max(4 * cores, number // 16))
+    pairs = pairs.repartition(tasks, F.xxhash64("left", "right"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
