@@ -3,7 +3,8 @@
 Hosts are linked by the addresses in their pages and to the domains above them. Personalised
 PageRank starts from hosts with pages that rules allow and follows the links; distrust starts from
 hosts with pages that rules block and follows them backwards. A host whose distrust exceeds its
-trust is blocked. Ranks, links and hosts are tables; a round is one join and one sum.
+trust is blocked. Ranks, links and hosts are tables; a round is one join and one sum. Rounds end when
+the ranks have settled and no further host is reached.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 from factloom.llm.common import lower_ascii
 from factloom.session import cut_lineage
 
+#: Rounds that the SQL states; the operator goes on until ranks have settled.
 ROUNDS, DAMPING = 8, 0.85
+#: Ranks have settled if their summed change is no more than this; rounds between written tables.
+TOLERANCE, STEP = 1e-9, 4
 #: A host is blocked if its distrust is more than this many times its trust.
 RATIO = 1.000001
 #: A host's link to the domain above it weighs as much as one address in a page.
@@ -111,12 +115,25 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagated(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``kind, host, rank`` after some rounds of personalised PageRank for each kind at once.
+def _settled(before: DataFrame, after: DataFrame) -> bool:
+    """Whether ranks moved by no more than ``TOLERANCE`` in all, on the same hosts."""
+    turned = before.select("kind", "host", -F.col("rank"), F.lit(1).alias("old"))
+    both = after.select("kind", "host", "rank", F.lit(0).alias("old")).union(turned)
+    moved = both.groupBy("kind", "host").agg(F.sum("rank").alias("d"), F.max("old").alias("old"))
+    told = moved.agg(F.sum(F.abs("d")).alias("change"), F.count_if(F.col("old") == 0).alias("fresh"))
+    told = told.first()
+    return (told["change"] or 0.0) <= TOLERANCE and not told["fresh"]
+
+
+def propagated(links: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``kind, host, rank`` of personalised PageRank for each kind at once.
+
+    Rounds go on until the ranks have settled, and for as long as hosts are reached that had no
+    rank; ``rounds`` asks for a fixed number instead.
 
     ``seeds`` holds ``kind, host, mass``. Kind ``trust`` follows ``links``, ``distrust`` follows
     them backwards. What a host passes on is dealt by weight; a host without links keeps nothing of
-    it. Each round is written to the shared folder, so the plan stays short.
+    it. A few rounds at a time are written to the shared folder, so the plan stays short.
     """
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(
         links.select(F.lit("distrust"), "dst", "src", "weight")
@@ -135,19 +152,26 @@ def propagated(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Data
     )
     ranks = base
     restart = base.select("kind", "host", (F.col("rank") * (1 - DAMPING)).alias("rank"))
-    for _ in range(rounds):
-        passed = (F.col("rank") * F.col("share") * DAMPING).alias("rank")
-        moved = edges.join(
-            ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]
-        ).select("kind", F.col("dst").alias("host"), passed)
-        ranks = cut_lineage(
-            moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks"
-        )
+    done = 0
+    while rounds is None or done < rounds:
+        before, step = ranks, STEP if rounds is None else min(STEP, rounds - done)
+        for _ in range(step):
+            passed = (F.col("rank") * F.col("share") * DAMPING).alias("rank")
+            moved = edges.join(
+                ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]
+            ).select("kind", F.col("dst").alias("host"), passed)
+            ranks = moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        ranks, done = cut_lineage(ranks, "ranks"), done + step
+        if rounds is None and _settled(before, ranks):
+            break
     return ranks
 
 
 def judged_pages(
-    pages: DataFrame, rules: list[Rule] | None = None, rounds: int = ROUNDS, ratio: float = RATIO
+    pages: DataFrame,
+    rules: list[Rule] | None = None,
+    rounds: int | None = None,
+    ratio: float = RATIO,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for each row of ``pages``.
 

@@ -103,3 +103,19 @@ def test_edges(spark):
     twice = table(spark, [("http://a.org/", "")] * 3 + [(None, None)])
     rows = U.judged_pages(twice).collect()
     assert len(rows) == 4 and {r["verdict"] for r in rows} == {"allow"}
+
+
+def test_ranks_settle_and_reach_all_hosts(spark):
+    """A chain longer than the rounds that the SQL states, and ranks as after very many rounds."""
+    chain = [f"c{k}.net" for k in range(U.ROUNDS + 8)]
+    pages = [(f"http://{a}/", f'<a href="http://{b}/">') for a, b in zip(chain, chain[1:], strict=False)]
+    pages[-1] = (pages[-1][0], '<a href="http://shop.com/">')
+    pages.append(("http://shop.com/de/", ""))
+    judged = U.judged_pages(table(spark, pages)).collect()
+    assert {r["verdict"] for r in judged} == {"block"}
+    links = {("a", "b"): 2.0, ("b", "a"): 1.0, ("b", "c"): 1.0, ("c", "a"): 1.0}
+    edges = spark.createDataFrame([(*k, w) for k, w in links.items()], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, mass double")
+    want = spread(links, {"a": 1.0}, 400)
+    got = {r["host"]: r["rank"] for r in U.propagated(edges, seeds).collect()}
+    assert set(got) == set(want) and all(abs(got[h] - want[h]) < 1e-8 for h in want)
