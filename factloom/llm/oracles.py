@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from factloom.llm import decontaminate, url_graph
+from factloom.llm import decontaminate, quality_rules, url_graph
 
 
 def _lower(text: str) -> str:
@@ -99,4 +99,63 @@ def contamination(window: int = decontaminate.WINDOW) -> str:
     FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)"""
 
 
-ORACLES = {"op1_url_filter": url_filter(), "op9_decontamination": contamination()}
+def quality(rules: tuple[quality_rules.Rule, ...] = quality_rules.RULES) -> str:
+    """Counts per document, windows as strings that are counted, and the same table of rules."""
+    window = quality_rules.WINDOW
+    stops = sorted({w for some in quality_rules.STOP_WORDS.values() for w in some})
+    space = "'[\\x20\\x09-\\x0D]'"
+    bare = f"regexp_replace(x, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')"
+    bullets = " OR ".join(f"starts_with({bare}, {_quoted(b)})" for b in quality_rules.BULLETS)
+    ends = " OR ".join(f"ends_with({bare}, {_quoted(b)})" for b in quality_rules.ELLIPSES)
+
+    def broken(rule):
+        sides = [
+            f"1000 * {rule.part} {sign} {bound} * {rule.whole}"
+            for sign, bound in (("<", rule.low), (">", rule.high))
+            if bound is not None
+        ]
+        where = f"({' OR '.join(sides)}) AND n_words >= {rule.words}"
+        if rule.languages:
+            where += f" AND coalesce(lang IN ({', '.join(map(_quoted, rule.languages))}), false)"
+        return f"({where})"
+
+    return f"""WITH docs AS (
+      SELECT doc_id, lang, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {bare} <> '') AS lines
+      FROM documents),
+    windows AS (
+      SELECT doc_id, k, array_to_string(words[k + 1 : k + {window}], ' ') AS run
+      FROM docs, unnest(range(greatest(len(words) - {window - 1}, 0))) AS u(k)),
+    again AS (
+      SELECT doc_id, unnest(places) AS k FROM (
+        SELECT doc_id, run, list(k) AS places FROM windows GROUP BY doc_id, run HAVING count(*) > 1)),
+    covered AS (
+      SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+      FROM again, unnest(range(k, k + {window})) AS u(p) GROUP BY doc_id),
+    counted AS (
+      SELECT doc_id, lang, len(words) AS n_words,
+        CAST(length(regexp_replace(text, {space}, '', 'g')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) AS BIGINT) AS n_lines,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        len(list_filter(lines, lambda x: {bullets})) AS n_bullet_lines,
+        len(list_filter(lines, lambda x: {ends})) AS n_ellipsis_lines,
+        len(list_filter(words, lambda x: lower(x) IN ({', '.join(map(_quoted, stops))})))
+          AS n_stop_words
+      FROM docs),
+    measured AS (
+      SELECT *, coalesce(n_repeat_words, 0) AS again FROM counted LEFT JOIN covered USING (doc_id)),
+    judged AS (
+      SELECT *, n_words < {quality_rules.FEWEST}
+        OR 100 * again > {quality_rules.REPEATED} * n_words AS base_failed FROM measured)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines,
+      again AS n_repeat_words, base_failed,
+      NOT base_failed AND NOT ({" OR ".join(map(broken, rules))}) AS kept FROM judged"""
+
+
+ORACLES = {
+    "op1_url_filter": url_filter(),
+    "op9_decontamination": contamination(),
+    "op11_quality_rules": quality(),
+}

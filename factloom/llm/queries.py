@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import ann, bpe, decontaminate, hash_tree, language_model, pii, simhash
-from factloom.llm import token_counts, toxicity, url_graph
+from factloom.llm import quality_rules, token_counts, toxicity, url_graph
 from factloom.llm.common import prepare, table
 from factloom.llm.oracles import ORACLES as ORACLES
 
@@ -98,3 +98,10 @@ def op10_toxicity(spark, sf):
     chain = toxicity.train(docs, table(spark, sf, "labels"))
     scored = toxicity.score(docs, chain)
     return scored.select("doc_id", "chances.*", F.col("rejected").alias("is_toxic"))
+
+
+@query
+def op11_quality_rules(spark, sf):
+    judged = quality_rules.judged(table(spark, sf, "documents"))
+    counts = "n_words word_chars n_symbols n_dup_lines n_repeat_words".split()
+    return judged.select("doc_id", *[f"measures.{c}" for c in counts], "base_failed", "kept")
