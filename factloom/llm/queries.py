@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, bpe, decontaminate, hash_tree, language_model, pii, simhash
-from factloom.llm import quality_rules, token_counts, toxicity, url_graph
+from factloom.llm import ann, bpe, conversation_repair, decontaminate, hash_tree, language_model
+from factloom.llm import pii, quality_rules, simhash, token_counts, toxicity, url_graph, whitening
 from factloom.llm.common import prepare, table
 from factloom.llm.oracles import ORACLES as ORACLES
 
@@ -105,3 +105,14 @@ def op11_quality_rules(spark, sf):
     judged = quality_rules.judged(table(spark, sf, "documents"))
     counts = "n_words word_chars n_symbols n_dup_lines n_repeat_words".split()
     return judged.select("doc_id", *[f"measures.{c}" for c in counts], "base_failed", "kept")
+
+
+@query
+def op12_conversation_repair(spark, sf):
+    rows = table(spark, sf, "conversations")
+    return conversation_repair.repairs(conversation_repair.damaged(rows), rows)
+
+
+@query
+def op13_whitening(spark, sf):
+    return whitening.whitened(table(spark, sf, "embeddings"))

@@ -71,7 +71,7 @@ def test_no_window_is_missed_when_hashes_agree(spark, monkeypatch):
     [
         (" ".join(f"the of words{k}" for k in range(20)), None),
         (" ".join(f"abcdefghijklmnop{k}" for k in range(30)), "word_length"),
-        (" ".join(f"another{k} ##" for k in range(30)), "symbols"),
+        (" ".join(f"another{k} ##" for k in range(20)), "symbols"),
         (" ".join(f"word{k}" for k in range(60)), "stop_words"),
         ("\n".join(f"- the line of words{k}" for k in range(30)), "bullet_lines"),
         ("\n".join(f"the line of {k}..." for k in range(30)), "ellipsis_lines"),
