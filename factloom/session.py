@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -42,27 +44,65 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
+#: Paths that the scopes entered last to first have to remove.
+_SCOPES: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
     """A fresh path in this application's part of the shared folder.
 
-    The file system removes that part when the driver ends.
+    The file system removes that part when the driver ends, and a ``scratch_scope`` removes what was
+    made in it when it is left; ``keep`` hands the path to the scope around that one.
     """
     folder = f"{shared_folder(spark)}/factloom-{spark.sparkContext.applicationId}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, target = _file_system(spark, folder)
     if not files.exists(target):
         files.mkdirs(target)
         files.deleteOnExit(target)
-    return f"{folder}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    owners = _SCOPES[:-1] if keep else _SCOPES
+    if owners:
+        owners[-1].append(path)
+    return path
+
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end, but for those that are kept.
 
-def cut_lineage(df, label: str):
+    For steps that write their result: nothing lazy that reads the tables may leave the scope.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            files, target = _file_system(spark, path)
+            files.delete(target, True)
+
+
+def cut_lineage(df, label: str, keep: bool = False):
     """Write ``df`` to the shared folder and read it back.
 
     The files outlive any executor, and later passes read them instead of
     repeating the work.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = scratch_path(spark, label, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(df) -> None:
+    """Remove the files of a table that ``cut_lineage`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    own = f"/factloom-{spark.sparkContext.applicationId}/"
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if own in folder:
+            files, target = _file_system(spark, folder)
+            files.delete(target, True)
