@@ -15,8 +15,10 @@ import factloom
 
 ROW = "__row"
 _SENT: set[str] = set()
-#: Texts may be long, so what Python workers get at once is bounded in rows and in bytes.
-BATCHES = {
+#: Texts may be long, so what Python workers get at once is bounded in rows and in bytes. Operators
+#: write each step's result, so the shuffle files behind it can go as soon as it is written.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
@@ -27,7 +29,7 @@ def prepare(spark: SparkSession) -> None:
 
     The driver zips its own copy once per session and Spark hands that to all executors.
     """
-    for name, value in BATCHES.items():
+    for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     session = spark.sparkContext.applicationId
     if session in _SENT:

@@ -62,3 +62,26 @@ def test_equal_fingerprints_are_no_near_copies(spark):
     texts = [f"{'same ' * 90}{t}" for t in (one, two)]
     assert len({simhash.fingerprint_of(t) for t in texts}) == 1
     assert kept(spark, texts) == first_ones(texts) == [0, 1]
+
+
+def test_groups_whose_hubs_miss_members(spark, monkeypatch):
+    """Copies that are just near or just not near each other, with every number of hub rounds."""
+    rng = random.Random(12)
+    base = invented(3, seed=13, low=120, high=120)
+    texts = [changed(t, rng.randint(1, 3), rng) for t in base for _ in range(25)]
+    want = first_ones(texts)
+    assert len(want) > 3
+    for hubs in (1, 3):
+        monkeypatch.setattr(near_copies, "HUBS", hubs)
+        assert kept(spark, texts) == want
+
+
+def test_edge_rows(spark, edge_docs, edge_texts, no_docs):
+    """Null keys come last, all columns stay but the two that are named in the docstring."""
+    docs = edge_docs.withColumn("__near", edge_docs.lang).withColumn("root", edge_docs.lang)
+    out = near_copies.first_of_each(docs)
+    assert sorted(out.columns) == sorted(c for c in docs.columns if c not in ("__row", "__near"))
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect())
+    want = first_ones([*edge_texts, "no id"])
+    assert found == [(k == len(edge_texts), 0 if k == len(edge_texts) else k) for k in want]
+    assert near_copies.first_of_each(no_docs).count() == 0

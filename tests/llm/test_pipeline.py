@@ -4,9 +4,8 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from test_decontaminate import judged
+from test_near_copies import first_ones
 from test_pii import cover, spans
-from test_simhash import all_links, slow_print
-from tests_llm_help import classes_of
 
 import corpus_pipeline
 from factloom.llm import bpe, simhash, toxicity
@@ -37,12 +36,10 @@ def test_toxic_documents_go(spark, stages):
 
 
 def test_one_of_each_class_stays(stages):
-    prints = {k: slow_print(r["text"]) for k, r in stages[1].items()}
-    root = classes_of(list(set(prints.values())), all_links(sorted(set(prints.values()))))
-    first = {}
-    for key in sorted(prints):
-        first.setdefault(root[prints[key]], key)
-    assert set(stages[2]) == set(first.values())
+    """All pairs of five-word shingle sets, 0.8 or more."""
+    keys = sorted(stages[1])
+    kept = first_ones([stages[1][k]["text"] for k in keys])
+    assert set(stages[2]) == {keys[k] for k in kept}
 
 
 def test_contaminated_documents_go(stages):
