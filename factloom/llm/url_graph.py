@@ -4,27 +4,31 @@ Hosts are linked by the addresses in their pages and to the domains above them.
 PageRank starts from hosts with pages that rules allow and follows the links; distrust starts from
 hosts with pages that rules block and follows them backwards. A host whose distrust exceeds its
 trust is blocked. Ranks, links and hosts are tables; a round is one join and one sum. Rounds end when
-the ranks have settled and no further host is reached.
+no further host is reached and what is still to move can change no verdict, or the ranks have settled.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import lower_ascii
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, drop_scratch
 
-#: Rounds that the SQL states; the operator goes on until ranks have settled.
-ROUNDS, DAMPING = 8, 0.85
+#: Rounds that the SQL states, after which a rank lacks 3e-5; the operator goes on as it must.
+ROUNDS, DAMPING = 64, 0.85
 #: Ranks have settled if their summed change is no more than this; rounds between written tables.
 TOLERANCE, STEP = 1e-9, 4
+#: What a step leaves to move, as a share of what it moved.
+AHEAD = DAMPING**STEP / (1 - DAMPING**STEP)
 #: A host is blocked if its distrust is more than this many times its trust.
 RATIO = 1.000001
 #: A host's link to the domain above it weighs as much as one address in a page.
 DOMAIN_WEIGHT = 1.0
+KINDS = ("trust", "distrust")
 ADDRESS = r"(?i)\b(?:href|src|action)\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 
 
@@ -115,34 +119,60 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def _settled(before: DataFrame, after: DataFrame) -> bool:
-    """Whether ranks moved by no more than ``TOLERANCE`` in all, on the same hosts."""
+def host_ranks(ranks: DataFrame) -> DataFrame:
+    """``host, trust, distrust``; zero where a host has no rank of a kind."""
+    own = {kind: F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0) for kind in KINDS}
+    return ranks.groupBy("host").agg(*[F.sum(rank).alias(kind) for kind, rank in own.items()])
+
+
+def _settled(before: DataFrame, after: DataFrame, ratio: float | None) -> bool:
+    """Whether no host was reached for the first time and the rest of the way does not matter.
+
+    With ``ratio`` that is so once no host's distrust can cross that many times its trust any more;
+    in any case once ranks move by no more than ``TOLERANCE`` in all.
+    """
     turned = before.select("kind", "host", -F.col("rank"), F.lit(1).alias("old"))
     both = after.select("kind", "host", "rank", F.lit(0).alias("old")).union(turned)
     moved = both.groupBy("kind", "host").agg(F.sum("rank").alias("d"), F.max("old").alias("old"))
-    told = moved.agg(F.sum(F.abs("d")).alias("change"), F.count_if(F.col("old") == 0).alias("fresh"))
+    told = moved.agg(
+        *[F.sum(F.when(F.col("kind") == k, F.abs("d"))).alias(k) for k in KINDS],
+        F.count_if(F.col("old") == 0).alias("fresh"),
+    )
     told = told.first()
-    return (told["change"] or 0.0) <= TOLERANCE and not told["fresh"]
-
-
-def propagated(links: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    if told["fresh"]:
+        return False
+    left = {k: (told[k] or 0.0) for k in KINDS}
+    if sum(left.values()) <= TOLERANCE:
+        return True
+    if ratio is None:
+        return False
+    reach = AHEAD * (left["distrust"] + ratio * left["trust"])
+    apart = F.abs(F.col("distrust") - F.col("trust") * ratio)
+    return host_ranks(after).filter(apart <= reach).isEmpty()
+
+
+def propagated(
+    links: DataFrame, seeds: DataFrame, rounds: int | None = None, ratio: float | None = None
+) -> DataFrame:
     """``kind, host, rank`` of personalised PageRank for each kind at once.
 
-    Rounds go on until the ranks have settled, and for as long as hosts are reached that had no
-    rank; ``rounds`` asks for a fixed number instead.
+    Rounds go on for as long as hosts are reached that had no rank, and until the ranks have settled
+    or, with ``ratio``, no verdict can change; ``rounds`` asks for a fixed number instead.
 
     ``seeds`` holds ``kind, host, mass``. Kind ``trust`` follows ``links``, ``distrust`` follows
     them backwards. What a host passes on is dealt by weight; a host without links keeps nothing of
-    it. A few rounds at a time are written to the shared folder, so the plan stays short.
+    it. A few rounds at a time are written to the shared folder, so the plan stays short, and the
+    table before goes. Links are dealt once, by their source, and kept so; a lost part is read again
+    from the written table.
     """
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(
         links.select(F.lit("distrust"), "dst", "src", "weight")
     )
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     edges = both.join(out, ["kind", "src"]).select(
-        "kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")
+        "kind", "src", "dst", (F.col("weight") / F.col("total") * DAMPING).alias("share")
     )
-    edges = cut_lineage(edges, "edges")
+    edges = cut_lineage(edges, "edges").repartition("kind", "src").persist(StorageLevel.DISK_ONLY)
     whole = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
     base = cut_lineage(
         seeds.join(F.broadcast(whole), "kind").select(
@@ -156,14 +186,18 @@ def propagated(links: DataFrame, seeds: DataFrame, rounds: int | None = None) ->
     while rounds is None or done < rounds:
         before, step = ranks, STEP if rounds is None else min(STEP, rounds - done)
         for _ in range(step):
-            passed = (F.col("rank") * F.col("share") * DAMPING).alias("rank")
+            passed = (F.col("rank") * F.col("share")).alias("rank")
             moved = edges.join(
                 ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]
             ).select("kind", F.col("dst").alias("host"), passed)
             ranks = moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         ranks, done = cut_lineage(ranks, "ranks"), done + step
-        if rounds is None and _settled(before, ranks):
+        over = rounds is None and _settled(before, ranks, ratio)
+        if before is not base:
+            drop_scratch(before)
+        if over:
             break
+    edges.unpersist()
     return ranks
 
 
@@ -190,12 +224,8 @@ def judged_pages(
         .agg(F.count("*").cast("double").alias("mass"))
     )
     links = cut_lineage(host_links(pages), "host-links")
-    ranks = propagated(links, cut_lineage(seeds, "seed-counts"), rounds)
-    none = F.lit(0.0)
-    hosts = ranks.groupBy("host").agg(
-        F.coalesce(F.sum(F.expr("if(kind = 'trust', rank, 0D)")), none).alias("trust"),
-        F.coalesce(F.sum(F.expr("if(kind = 'distrust', rank, 0D)")), none).alias("distrust"),
-    )
+    ranks = propagated(links, cut_lineage(seeds, "seed-counts"), rounds, ratio)
+    hosts, none = host_ranks(ranks), F.lit(0.0)
     own = judged.join(hosts, "host", "left")
     trust, distrust = F.coalesce("trust", none), F.coalesce("distrust", none)
     method = F.when(distrust > trust * ratio, "block").otherwise("allow")

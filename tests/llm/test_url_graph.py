@@ -106,8 +106,8 @@ def test_edges(spark):
 
 
 def test_ranks_settle_and_reach_all_hosts(spark):
-    """A chain longer than the rounds that the SQL states, and ranks as after very many rounds."""
-    chain = [f"c{k}.net" for k in range(U.ROUNDS + 8)]
+    """A chain of several steps, and ranks as after very many rounds."""
+    chain = [f"c{k}.net" for k in range(4 * U.STEP + 2)]
     pages = [(f"http://{a}/", f'<a href="http://{b}/">') for a, b in zip(chain, chain[1:], strict=False)]
     pages[-1] = (pages[-1][0], '<a href="http://shop.com/">')
     pages.append(("http://shop.com/de/", ""))
@@ -119,3 +119,38 @@ def test_ranks_settle_and_reach_all_hosts(spark):
     want = spread(links, {"a": 1.0}, 400)
     got = {r["host"]: r["rank"] for r in U.propagated(edges, seeds).collect()}
     assert set(got) == set(want) and all(abs(got[h] - want[h]) < 1e-8 for h in want)
+
+
+def test_settled_verdicts_by_hand(spark):
+    """Rounds end early, with the verdicts of very many rounds."""
+    rng = random.Random(17)
+    hosts = [f"h{k}.net" for k in range(40)] + ["good.org", "shop.com", "deal.com", "sale.com"]
+    rows = []
+    for k in range(160):
+        links = "".join(f'<a href="http://{rng.choice(hosts)}/{k}">' for _ in range(rng.randint(0, 4)))
+        rows.append((f"http://{rng.choice(hosts)}/{rng.choice(['de/', 'de/', 'de/', 'en'])}{k}", links))
+    rows.append(("http://good.org/long", "x" * 300_000 + '<a href="http://h3.net/">'))
+    pages = table(spark, rows)
+    links = {(r["src"], r["dst"]): r["weight"] for r in U.host_links(pages).collect()}
+    seeds = {"trust": {}, "distrust": {}}
+    for url, _ in rows:
+        host, path = parts(url)
+        if rule := rule_of(host, path):
+            own = seeds["trust" if rule.verdict == "allow" else "distrust"]
+            own[host] = own.get(host, 0) + 1
+    trust = spread(links, seeds["trust"], 400)
+    distrust = spread({(b, a): w for (a, b), w in links.items()}, seeds["distrust"], 400)
+    found = U.judged_pages(pages).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        host, path = parts(rows[r["page_id"]][0])
+        rule = rule_of(host, path)
+        bad = distrust.get(host, 0) > U.RATIO * trust.get(host, 0)
+        assert r["verdict"] == (rule.verdict if rule else "block" if bad else "allow")
+    assert len({r["verdict"] for r in found if r["rule"] is None}) == 2
+
+
+def test_null_page_ids(spark):
+    rows = [(None, "http://a.org/", None, "x"), (None, "http://b.net/", "", "x")]
+    found = U.judged_pages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [r["page_id"] for r in found] == [None, None]
