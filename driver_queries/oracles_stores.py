@@ -133,18 +133,23 @@ def _top(distance: str, where: str, limit: int, score: str, tail: str = "") -> s
 oracle("knn_l2", _top(_L2, "", 10, "1 / (1 + d)"))
 oracle("knn_cosine", _top(_COSINE, "", 50, "1 - d", "WHERE 1 - d >= 0.1"))
 oracle("knn_dot", _top(f"(1 - {_DOT})", "WHERE ticker = 'L3'", 5, "d"))
-oracle(
-    "knn_batch",
-    f"""WITH {VECTORS}, ranked AS (
+def _batch(asked: str, distance: str, score: str) -> str:
+    return f"""WITH {VECTORS}, asked AS ({asked}), ranked AS (
       SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank
-      FROM (SELECT query_id, id, {_L2} AS d FROM vecs, label_centres))
+      FROM (SELECT query_id, id, {distance} AS d FROM vecs, asked))
     SELECT CAST(query_id AS BIGINT) AS query_id, id, rank, round(d, 6) AS distance,
-      round(1 / (1 + d), 6) AS score FROM ranked WHERE rank <= 10""",
+      round({score}, 6) AS score FROM ranked WHERE rank <= 10"""
+
+
+oracle(
+    "knn_batch",
+    _batch("SELECT id AS query_id, v AS q FROM vecs WHERE id % 50 = 0", _L2, "1 / (1 + d)"),
 )
+oracle("knn_batch_cosine", _batch("SELECT * FROM label_centres", _COSINE, "1 - d"))
 oracle(
     "ann_search",
-    """SELECT DISTINCT CAST(label AS BIGINT) AS query_id, CAST(10 AS BIGINT) AS n_found,
-      true AS recall_reached, true AS distances_true FROM embeddings""",
+    """SELECT vec_id AS query_id, CAST(10 AS BIGINT) AS n_found, true AS recall_reached,
+      true AS distances_true FROM embeddings WHERE vec_id % 50 = 0""",
 )
 oracle("ann_search_all_cells", ORACLES["knn_batch"])
 oracle(
@@ -166,9 +171,9 @@ for _name in ("filings_parquet_round_trip", "filings_csv_round_trip"):
 oracle("collect_filings_twice", ORACLES["collect_filings"])
 
 
-def _totals(ticker: str) -> str:
+def _totals(ticker: str, revenues: str = "'Revenues'") -> str:
     return f"""WITH {LINES}, read_back AS (
-      SELECT ticker, 'Revenues' AS concept_name, CAST(l_extendedprice AS DECIMAL(20, 2)) AS x,
+      SELECT ticker, {revenues} AS concept_name, CAST(l_extendedprice AS DECIMAL(20, 2)) AS x,
         filing_date, report_date FROM lines
       UNION ALL SELECT ticker, 'Discount', -CAST(l_discount AS DECIMAL(20, 2)), filing_date,
         report_date FROM lines)
@@ -180,6 +185,10 @@ def _totals(ticker: str) -> str:
 
 oracle("facts_refresh", _totals("ticker"))
 oracle("facts_refresh_new_filings", _totals("ticker"))
+oracle(
+    "facts_refresh_late_pages",
+    _totals("ticker", "CASE WHEN l_orderkey % 5 = 0 THEN 'Sales' ELSE 'Revenues' END"),
+)
 oracle("facts_refresh_numeric_tickers", _totals("substr(ticker, 2)"))
 oracle(
     "facts_refresh_empty",

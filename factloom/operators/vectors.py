@@ -25,7 +25,9 @@ from factloom.schemas import VECTOR_RECORD
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Rows of a block on either side of a search for many queries.
-RECORDS_PER_BLOCK, QUERIES_PER_BLOCK = 16_384, 1024
+RECORDS_PER_BLOCK, QUERIES_PER_BLOCK = 16_384, 256
+# Rows whose true neighbours say how far a search has to probe, and the share it has to reach.
+MEASURED, REACHED = 64, 0.97
 
 
 def prepare_records(documents: DataFrame, dim: int, today: str) -> DataFrame:
@@ -83,29 +85,37 @@ def _matrix(column) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
-def _best(rows, kept: list[str], id_col: str, vector_col: str, names, vectors, k: int, metric: str):
-    """For each query the ``k`` nearest of ``rows`` (an Arrow batch or table), as Arrow tables."""
-    distances = _distances(_matrix(rows.column(vector_col)), vectors, metric)
-    ids = rows.column(id_col)
-    order_ids = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy()
-    payload = rows.select(kept)
-    for j, name in enumerate(names):
-        d = distances[:, j]
-        usable = np.flatnonzero(~np.isnan(d))
-        if len(usable) > k:
-            bound = np.partition(d[usable], k - 1)[k - 1]
-            usable = usable[d[usable] <= bound]
-        best = usable[np.lexsort((order_ids[usable], d[usable]))][:k]
-        if len(best):
-            picked = payload.take(pa.array(best))
-            yield pa.table(
-                [
-                    pa.array(np.full(len(best), name, dtype=np.int64)),
-                    *picked.columns,
-                    pa.array(d[best]),
-                ],
-                names=["query_id", *kept, "distance"],
+class _Rows:
+    """Rows that queries are compared with: their vectors, the order of their ids, what is shown."""
+
+    def __init__(self, payload, ids, vectors):
+        self.payload, self.matrix = payload, _matrix(vectors)
+        self.order = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy()
+
+    def best(self, names, queries: np.ndarray, k: int, metric: str):
+        """For each query the ``k`` nearest rows, as Arrow tables."""
+        if len(self.matrix) and self.matrix.shape[1] != queries.shape[1]:
+            raise ValueError(
+                f"a vector has length {self.matrix.shape[1]}, queries {queries.shape[1]}"
             )
+        distances = _distances(self.matrix, queries, metric)
+        for j, name in enumerate(names):
+            d = distances[:, j]
+            usable = np.flatnonzero(~np.isnan(d))
+            if len(usable) > k:
+                bound = np.partition(d[usable], k - 1)[k - 1]
+                usable = usable[d[usable] <= bound]
+            best = usable[np.lexsort((self.order[usable], d[usable]))][:k]
+            if len(best):
+                picked = self.payload.take(pa.array(best))
+                yield pa.table(
+                    [
+                        pa.array(np.full(len(best), name, dtype=np.int64)),
+                        *picked.columns,
+                        pa.array(d[best]),
+                    ],
+                    names=["query_id", *self.payload.schema.names, "distance"],
+                )
 
 
 def _known(metric: str) -> None:
@@ -127,7 +137,8 @@ def _nearest(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for found in _best(batch, names, id_col, vector_col, [0], query, k, metric):
+                rows = _Rows(batch.select(names), batch.column(id_col), batch.column(vector_col))
+                for found in rows.best([0], query, k, metric):
                     yield from found.to_batches()
 
     whole = records.filter(F.col(vector_col).isNotNull())
@@ -135,63 +146,81 @@ def _nearest(
     return whole.mapInArrow(search, _found_schema(kept))
 
 
-def _blocks(df: DataFrame, size: int) -> int:
-    return max(1, -(-df.count() // size))
+def _parts(df: DataFrame, name: str, size: int) -> DataFrame:
+    """``__cell`` and into how many blocks its rows go; there is a row for each cell."""
+    return df.groupBy("__cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
 
 def _met(
-    records: DataFrame,
-    queries: DataFrame,
-    keys: list[str],
-    id_col: str,
-    vector_col: str,
-    k: int,
-    metric: str,
+    records: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, metric: str
 ) -> DataFrame:
-    """The ``k`` nearest rows per query within each pair of blocks.
+    """The ``k`` nearest rows per query within each block of rows of the same ``__cell``.
 
-    ``keys`` are columns of both sides and say which rows meet; both sides are then dealt into
-    blocks of bounded size by hash, and each block of records meets each block of queries of the
-    same keys. ``queries`` holds ``query_id, query_vector``.
+    Queries (``query_id, query_vector``) are packed into blocks once. A block of rows stays in one
+    task while the blocks of its cell's queries stream past it, so every vector is shuffled once, and
+    of the queries one block for each block of rows. Both kinds of blocks are of bounded size,
+    whatever cell most rows or queries have.
     """
     _known(metric)
-    # The number of blocks follows both tables; only the two counts reach the driver.
-    parts, groups = _blocks(records, RECORDS_PER_BLOCK), _blocks(queries, QUERIES_PER_BLOCK)
-    kept = [f for f in records.schema if f.name not in (vector_col, *keys)]
+    kept = [f for f in records.schema if f.name not in (vector_col, "__cell")]
+    records = records.filter(F.col(vector_col).isNotNull())
+    queries = queries.filter(F.col("query_vector").isNotNull())
+    parts = _parts(records, "__parts", RECORDS_PER_BLOCK)
+    groups = _parts(queries, "__groups", QUERIES_PER_BLOCK)
+
+    left = records.withColumn("__at", F.monotonically_increasing_id()).join(parts, "__cell")
+    part = F.pmod(F.xxhash64("__at"), F.col("__parts")).cast("int")
+    row = F.struct(*[F.col(f.name) for f in kept], F.col(id_col).alias("__id"))
+    left = left.select(
+        "__cell", part.alias("part"), F.lit(0).alias("kind"), row.alias("row"),
+        F.col(vector_col).alias("vector"), F.lit(None).cast("array<double>").alias("numbers"),
+        F.lit(None).cast("array<bigint>").alias("asked"),
+    )
+    group = F.pmod(F.xxhash64("query_id"), F.col("__groups")).alias("group")
+    packed = queries.join(groups, "__cell").groupBy("__cell", group)
+    packed = packed.agg(F.collect_list(F.struct("query_id", "query_vector")).alias("q"))
+    right = packed.join(parts, "__cell").select(
+        "__cell",
+        F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("part"),
+        F.lit(1).alias("kind"),
+        F.lit(None).alias("row"),
+        F.lit(None).alias("vector"),
+        F.flatten(F.transform("q", lambda x: x["query_vector"])).alias("numbers"),
+        F.transform("q", lambda x: x["query_id"]).alias("asked"),
+    )
     names = [f.name for f in kept]
-    part, group = "__part", "__group"
 
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    left = (
-        records.filter(F.col(vector_col).isNotNull())
-        .withColumn(part, F.pmod(F.xxhash64(id_col, vector_col), F.lit(parts)).cast("int"))
-        .withColumn(group, every(groups))
-    )
-    right = (
-        queries.filter(F.col("query_vector").isNotNull())
-        .withColumn(group, F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-        .withColumn(part, every(parts))
-    )
-    out = _found_schema(kept)
-
-    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        found = []
-        if rows.num_rows and asked.num_rows:
-            ids, vectors = asked.column("query_id").to_pylist(), _matrix(asked.column("query_vector"))
-            matrix = rows.column(vector_col)
-            if (n := len(matrix[0])) != vectors.shape[1]:
-                raise ValueError(f"a vector has length {n}, queries {vectors.shape[1]}")
-            found = list(_best(rows, names, id_col, vector_col, ids, vectors, k, metric))
-        if found:
-            return pa.concat_tables(found)
-        shape = rows.select(names).schema
-        fields = [pa.field("query_id", pa.int64()), *shape, pa.field("distance", pa.float64())]
-        return pa.schema(fields).empty_table()
-
-    by = [*keys, part, group]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, out)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, rows = None, [], None
+        for batch in batches:
+            columns = [batch.column(n).to_numpy() for n in ("__cell", "part", "kind")]
+            keys = np.stack(columns, axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if a == b:
+                    continue
+                if tuple(keys[a][:2]) != place:
+                    place, held, rows = tuple(keys[a][:2]), [], None
+                piece = batch.slice(a, b - a)
+                if keys[a][2] == 0:
+                    held.append(piece.select(["row", "vector"]))
+                    continue
+                if rows is None and held:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    row = table.column("row").combine_chunks()
+                    fields = dict(zip([f.name for f in row.type], row.flatten(), strict=True))
+                    payload = pa.table([fields[n] for n in names], names=names)
+                    rows, held = _Rows(payload, fields["__id"], table.column("vector")), []
+                for j in range(len(piece) if rows else 0):
+                    asked = piece.column("asked")[j].as_py()
+                    flat = piece.column("numbers")[j].values.to_numpy(zero_copy_only=False)
+                    if len(flat) % len(asked):
+                        raise ValueError("query vectors of different lengths")
+                    for found in rows.best(asked, flat.reshape(len(asked), -1), k, metric):
+                        yield from found.to_batches()
+
+    dealt = left.unionByName(right).repartition("__cell", "part")
+    return dealt.sortWithinPartitions("__cell", "part", "kind").mapInArrow(stream, _found_schema(kept))
 
 
 def _finish(candidates: DataFrame, id_col: str, limit: int, metric: str, min_score: float):
@@ -249,8 +278,8 @@ def search_many(
     ``queries`` has a whole-number id and a vector per row and stays a table of any size; no query
     gives no rows. Vectors of different lengths are an error.
     """
-    asked = _queries(queries, query_id, query_vector)
-    found = _met(records, asked, [], id_col, vector_col, limit, metric)
+    asked = _queries(queries, query_id, query_vector).withColumn("__cell", F.lit(0))
+    found = _met(records.withColumn("__cell", F.lit(0)), asked, id_col, vector_col, limit, metric)
     return _finish(found, id_col, limit, metric, min_score)
 
 
@@ -279,6 +308,69 @@ def assign_cells(
     return model.transform(featured).drop("__features"), np.asarray(model.clusterCenters())
 
 
+def nearest_cells(vectors: Column, centres: np.ndarray, most: int, reach: float = 0.0) -> Column:
+    """The cells whose centres are nearest to a vector, nearest first.
+
+    These are the first ``most`` and all others that are no more than ``reach`` farther than the
+    first.
+    """
+    known = np.asarray(centres, dtype=np.float64)
+
+    @F.pandas_udf("array<int>")
+    def cells(column: pd.Series) -> pd.Series:
+        far = np.sqrt(_distances(known, np.stack(column.to_numpy()).astype(np.float64), "l2").T)
+        order = far.argsort(axis=1, kind="stable")
+        ahead = np.take_along_axis(far, order, axis=1)
+        count = np.maximum((ahead <= ahead[:, :1] + reach).sum(axis=1), min(most, len(known)))
+        return pd.Series([o[:n].astype(np.int32) for o, n in zip(order, count, strict=True)])
+
+    return cells(vectors)
+
+
+def place_in_cells(records: DataFrame, centres: np.ndarray, vector_col: str = "vector") -> DataFrame:
+    """Rows with the number of their cell by centres that are known, as for rows that come later."""
+    records = records.filter(F.col(vector_col).isNotNull())
+    return records.withColumn("cell", nearest_cells(F.col(vector_col), centres, 1)[0])
+
+
+def store_cells(indexed: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write rows into a folder per cell; a large cell gets several files, small ones few."""
+    indexed.hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(path)
+
+
+def measured_reach(
+    indexed: DataFrame,
+    centres: np.ndarray,
+    limit: int = SEARCH_LIMIT,
+    sample: int = MEASURED,
+    share: float = REACHED,
+    metric: str = "l2",
+    id_col: str = "id",
+    vector_col: str = "vector",
+) -> float:
+    """How much farther than the nearest centre a search must go to find ``share`` of neighbours.
+
+    ``sample`` rows, the first by hash of their id, are searched exactly; only their own vectors and
+    the cells of their ``limit`` neighbours reach the driver.
+    """
+    asked = indexed.filter(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col)
+    asked = asked.limit(sample).select(F.col(vector_col).cast("array<double>").alias("v")).collect()
+    if not asked:
+        return 0.0
+    asked = np.array([r["v"] for r in asked], dtype=np.float64)
+    spark = indexed.sparkSession
+    queries = spark.createDataFrame(
+        [(k, v.tolist()) for k, v in enumerate(asked)], "query_id bigint, query_vector array<double>"
+    )
+    short = indexed.select(id_col, "cell", vector_col)
+    found = search_many(short, queries, limit, float("-inf"), metric, id_col, vector_col)
+    far = np.sqrt(_distances(np.asarray(centres, dtype=np.float64), asked, "l2").T)
+    extra = [far[r["query_id"], r["cell"]] - far[r["query_id"]].min() for r in
+             found.select("query_id", "cell").collect()]
+    extra = np.sort(extra)
+    return float(extra[math.ceil(share * len(extra)) - 1]) if len(extra) else 0.0
+
+
 def search_cells(
     indexed: DataFrame,
     centres: np.ndarray,
@@ -291,21 +383,17 @@ def search_cells(
     vector_col: str = "vector",
     query_id: str = "query_id",
     query_vector: str = "query_vector",
+    reach: float = 0.0,
 ) -> DataFrame:
-    """Approximate search: only the ``probes`` nearest cells of a query, exact inside them.
+    """Approximate search: only the cells nearest to a query, exact inside them.
 
-    Queries and rows meet by an equi-join on the cell.
+    A query probes its ``probes`` nearest cells and those within ``reach`` of the nearest, which
+    ``measured_reach`` gives. Blocks are counted per cell, so a query is sent to the blocks of its
+    cells and to no others.
     """
-    known = np.asarray(centres, dtype=np.float64)
-    count = min(probes, len(known))
-
-    @F.pandas_udf("array<int>")
-    def cells_of(vectors: pd.Series) -> pd.Series:
-        far = _distances(known, np.stack(vectors.to_numpy()).astype(np.float64), "l2").T
-        return pd.Series(list(far.argsort(axis=1, kind="stable")[:, :count].astype(np.int32)))
-
     asked = _queries(queries, query_id, query_vector).filter(F.col("query_vector").isNotNull())
-    asked = asked.withColumn("cell", F.explode(cells_of("query_vector")))
-    indexed = indexed.withColumn("cell", F.col("cell").cast("int"))
-    found = _met(indexed, asked, ["cell"], id_col, vector_col, limit, metric)
+    cells = nearest_cells(F.col("query_vector"), centres, probes, reach)
+    asked = asked.withColumn("__cell", F.explode(cells))
+    indexed = indexed.withColumn("__cell", F.col("cell").cast("int")).drop("cell")
+    found = _met(indexed, asked, id_col, vector_col, limit, metric)
     return _finish(found, id_col, limit, metric, min_score)

@@ -148,6 +148,14 @@ def refresh_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
     )
 
 
+def delete_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Remove folders of a stored table, named as Spark names the files in them."""
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def append_facts(facts: DataFrame, table: str, metadata: dict) -> None:
     """Append facts to a catalog table with filing metadata as constant columns."""
     facts.withColumns({k: F.lit(v) for k, v in metadata.items()}).write.mode("append").saveAsTable(

@@ -11,6 +11,7 @@ from factloom.operators.universe import YearRange
 from factloom.plans import knowledge_base
 from factloom.plans.annotate import AnnotationStore
 from factloom.plans.collect import collect_filings
+from factloom.plans import facts as facts_plan
 from factloom.plans.facts import facts_of_ticker, filing_facts, refresh_facts
 from factloom.schemas import FILINGS, NUMERIC_FACTS, VECTOR_RECORD
 from factloom.session import cut_lineage
@@ -273,6 +274,33 @@ def test_cells_find_most_neighbours(spark, tmp_path):
     assert {(r["query_id"], r["id"]) for r in whole} == exact
 
 
+def test_cells_with_measured_reach_and_later_rows(spark, tmp_path, monkeypatch):
+    """Rows come after the centres were fitted, a third of all are equal, blocks are small."""
+    monkeypatch.setattr(vectors, "RECORDS_PER_BLOCK", 40)
+    monkeypatch.setattr(vectors, "QUERIES_PER_BLOCK", 3)
+    rnd = np.random.default_rng(3)
+    data = rnd.normal(size=(600, 8)).astype(np.float32)
+    data[400:] = data[0]
+    df = spark.createDataFrame(
+        [(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vector array<float>"
+    )
+    indexed, centres = vectors.assign_cells(df.filter("id < 300"), configured=12)
+    path = str(tmp_path / "cells")
+    vectors.store_cells(indexed, path)
+    vectors.store_cells(vectors.place_in_cells(df.filter("id >= 300"), centres), path, "append")
+    stored = spark.read.parquet(path)
+    assert stored.count() == 600
+    asked = df.filter("id % 13 = 0").selectExpr("id query_id", "vector query_vector")
+    reach = vectors.measured_reach(stored, centres, 5)
+    found = vectors.search_cells(stored, centres, asked, probes=1, limit=5, reach=reach).collect()
+    want = {(q, i) for q in range(0, 600, 13) for i in brute(data, data[q], "l2", 5)}
+    assert len({(r["query_id"], r["id"]) for r in found} & want) >= 0.9 * len(want)
+    for r in found:
+        off = data[r["query_id"]].astype(float) - data[r["id"]].astype(float)
+        assert abs(r["distance"] - (off**2).sum()) < 1e-9
+    assert vectors.measured_reach(stored.limit(0), centres, 5) == 0.0
+
+
 def test_cell_count():
     assert [vectors.cell_count(n) for n in (0, 3, 100, 10**9)] == [2, 2, 10, 256]
 
@@ -424,26 +452,73 @@ def test_filing_facts_end_to_end(spark, rows):
     assert facts_of_ticker(described(spark), fact_pages(spark), "A").count() == 1
 
 
-def test_facts_refresh_reads_new_filings_only(spark, tmp_path, rows):
+def read_times(spark, path):
+    log = spark.read.parquet(f"{path}.read").filter("digest is not null")
+    return {r["filing_key"]: r["count"] for r in log.groupBy("filing_key").count().collect()}
+
+
+def test_facts_refresh_reads_new_and_changed_pages(spark, tmp_path, rows):
     path = str(tmp_path / "facts")
     everyone = universe.securities_frame(
         spark, [{"ticker": t, "name": t, "exchange": "X"} for t in ("A", "B")]
     )
-    first = refresh_facts(everyone.filter("ticker = 'A'"), described(spark), fact_pages(spark), path)
+    pages = fact_pages(spark)
+    first = refresh_facts(everyone.filter("ticker = 'A'"), described(spark), pages, path)
     assert rows(first, "ticker", "fact_value") == [("A", 100.0)]
     assert [f.name for f in first.schema] == NUMERIC_FACTS.fieldNames()
-    changed = fact_pages(spark).withColumn("html", F.replace("html", F.lit("100"), F.lit("999")))
-    second = refresh_facts(everyone, described(spark), changed, path)
+    second = refresh_facts(everyone, described(spark), pages, path)
     assert sorted(rows(second, "ticker", "fact_value")) == [("A", 100.0), ("B", 200.0)]
+    assert read_times(spark, path) == {"1": 1, "2": 1}
     # Filing 4 is a new one of a stored ticker without any fact, filing 3 gets its address late.
     late = described(spark).withColumn("xbrl_instance_url", F.lit("u"))
     late = late.unionByName(late.filter("filing_id = 1").withColumn("filing_id", F.lit(4)))
-    third = refresh_facts(everyone, late, fact_pages(spark), path)
+    third = refresh_facts(everyone, late, pages, path)
     assert sorted(rows(third, "ticker", "fact_value")) == [("A", 100.0), ("B", 200.0), ("B", 300.0)]
-    fourth = refresh_facts(everyone, late, fact_pages(spark).filter("false"), path)
-    assert fourth.count() == 3
-    log = sorted(rows(spark.read.parquet(f"{path}.read"), "filing_key"))
-    assert log == [("1",), ("2",), ("3",), ("4",)]
+    fourth = refresh_facts(everyone, late, pages.filter("false"), path)
+    assert fourth.count() == 3 and set(read_times(spark, path).values()) == {1}
+    # A changed page replaces the facts of its filing and of no other.
+    changed = pages.withColumn("html", F.replace("html", F.lit(">200<"), F.lit(">999<")))
+    fifth = refresh_facts(everyone, late, changed, path)
+    assert sorted(rows(fifth, "ticker", "fact_value")) == [("A", 100.0), ("B", 300.0), ("B", 999.0)]
+    refresh_facts(everyone, late, changed, path)
+    times = read_times(spark, path)
+    assert times["1"] == times["4"] == 1 and times["2"] == 2
+    # A page that loses its facts empties the folder of its ticker.
+    bare = changed.withColumn("html", F.when(F.col("filing_id") == 1, "<p>none</p>").otherwise(F.col("html")))
+    last = refresh_facts(everyone, late, bare, path)
+    assert sorted(rows(last, "ticker", "fact_value")) == [("B", 300.0), ("B", 999.0)]
+    assert sorted(rows(refresh_facts(everyone, late, pages, path), "fact_value")) == [(100.0,), (200.0,), (300.0,)]
+
+
+def test_pages_that_land_later_and_broken_runs(spark, tmp_path, rows, monkeypatch):
+    path = str(tmp_path / "facts")
+    everyone = universe.securities_frame(
+        spark, [{"ticker": t, "name": t, "exchange": "X"} for t in ("A", "B")]
+    )
+    pages = fact_pages(spark)
+    blank = F.when(F.col("filing_id") == 1, F.col("html"))
+    first = refresh_facts(everyone, described(spark), pages.withColumn("html", blank), path)
+    assert rows(first, "ticker", "fact_value") == [("A", 100.0)]
+    # Facts of filing 2 are written, the log is not; the next run does not double them.
+    real = facts_plan._note
+
+    def broken(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(facts_plan, "_note", broken)
+    with pytest.raises(OSError):
+        refresh_facts(everyone, described(spark), pages, path)
+    monkeypatch.setattr(facts_plan, "_note", real)
+    second = refresh_facts(everyone, described(spark), pages, path)
+    assert sorted(rows(second, "ticker", "fact_value")) == [("A", 100.0), ("B", 200.0)]
+    # A run that breaks off while folders change makes the next one read all that is in them.
+    monkeypatch.setattr(facts_plan, "refresh_partitions", broken)
+    changed = pages.withColumn("html", F.replace("html", F.lit(">100<"), F.lit(">7<")))
+    with pytest.raises(OSError):
+        refresh_facts(everyone, described(spark), changed, path)
+    monkeypatch.undo()
+    third = refresh_facts(everyone, described(spark), changed, path)
+    assert sorted(rows(third, "ticker", "fact_value")) == [("A", 7.0), ("B", 200.0)]
 
 
 def test_facts_refresh_without_facts_and_with_digits(spark, tmp_path, rows):
