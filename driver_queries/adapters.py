@@ -461,20 +461,25 @@ def filing_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jsonl_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """One JSON record per conversation, with its turns as values; a few broken lines.
+    """One JSON record per conversation, with its turns as values; some lines are odd or broken.
 
-    Conversations that open with a system turn are cut off before their end.
+    Conversations that open with a system turn are cut off before their end. By the rest of the id
+    by five, items repeat two of their keys (1), text follows the object (2), or numbers are there
+    that JSON does not have (3).
     """
+    rest = F.col("conv_id") % 5
+    item = F.to_json(
+        F.struct(
+            F.col("role").alias("tag"),
+            F.col("text").alias("value"),
+            F.when(F.col("role") == "user", F.lit("words")).alias("units"),
+        )
+    )
+    again = F.concat(F.lit('{"tag":"old","value":"old",'), F.substr(item, F.lit(2)))
     turns = table(spark, sf, "conversations").select(
         "conv_id",
         "turn",
-        F.to_json(
-            F.struct(
-                F.col("role").alias("tag"),
-                F.col("text").alias("value"),
-                F.when(F.col("role") == "user", F.lit("words")).alias("units"),
-            )
-        ).alias("item"),
+        F.when(rest == 1, again).otherwise(item).alias("item"),
         (F.col("role") == "system").alias("is_system"),
     )
     # A conversation is one record, so its turns belong into one line.
@@ -487,9 +492,11 @@ def jsonl_lines(spark: SparkSession, sf: str) -> DataFrame:
         .select(
             "conv_id",
             F.concat(
-                F.lit('{"ticker":"C'), F.col("conv_id").cast("string"),
-                F.lit('","fy":2024,"values":['), F.col("items"),
-                F.when(F.col("broken"), F.lit("")).otherwise(F.lit("]}")),
+                F.lit('{"ticker":"C'), F.col("conv_id").cast("string"), F.lit('","fy":2024,'),
+                F.when(rest == 3, F.lit('"x":NaN,"y":-Infinity,')).otherwise(F.lit("")),
+                F.lit('"values":['), F.col("items"),
+                F.when(F.col("broken"), F.lit("")).when(rest == 2, F.lit("]}],garbage"))
+                .otherwise(F.lit("]}")),
             ).alias("value"),
         )
     )

@@ -13,6 +13,7 @@ from factloom.functions import text as X
 from factloom.operators import coverage, facts, filings, metrics, universe
 from factloom.operators.align import align, stack_columns
 from factloom.schemas import FILINGS
+from factloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,6 +39,18 @@ def concept_coverage(spark, sf):
     return coverage.concept_coverage(A.numeric_facts(spark, sf))
 
 
+@query
+def concept_coverage_sketched(spark, sf):
+    """Sketches of one half of the orders, then of the other merged into them, next to exact counts."""
+    facts, path = A.numeric_facts(spark, sf), scratch_path(spark, "sketches")
+    coverage.refresh_sketches(facts.filter("l_orderkey % 2 = 0"), path)
+    stored = coverage.refresh_sketches(facts.filter("l_orderkey % 2 = 1"), path)
+    estimated = coverage.estimated_coverage(stored).withColumnRenamed("num_filings", "estimate")
+    both = coverage.concept_coverage(facts).join(estimated, "concept_name")
+    near = F.abs(F.col("estimate") - F.col("num_filings")) <= F.col("num_filings") * 0.03
+    return both.select("concept_name", "num_filings", near.alias("estimate_near"))
+
+
 @query
 def distinct_filings(spark, sf):
     return coverage.distinct_filings(A.numeric_facts(spark, sf)).select(

@@ -14,6 +14,7 @@ from driver_queries.catalogue import STAMP, YEARS, query
 from factloom.functions import text
 from factloom.functions.vectors import distance, fit_dimension
 from factloom.operators import align, annotations, filings, vectors
+from factloom.plans.annotate import AnnotationStore
 from factloom.plans.collect import collect_filings
 from factloom.plans.facts import facts_of_ticker, refresh_facts
 from factloom.plans.knowledge_base import store_filing_texts
@@ -21,7 +22,7 @@ from factloom.schemas import FILINGS
 from factloom.session import cut_lineage, scratch_path
 from factloom.sources import submissions, tables
 from factloom.sources.jsonl import numbered_lines, read_records
-from factloom.streaming.annotations import absorb_saves
+from factloom.streaming.annotations import absorb_saves, current_states, track_saves
 
 RECALL, NEAREST = 0.9, 10
 RECORD_SEEN = "4-NOT SPECIFIED#1"
@@ -77,6 +78,39 @@ def jsonl_rejects(spark, sf):
     )
 
 
+def _uploaded(spark, lines, order):
+    """Lines as eight files of fixed names, each in the given order."""
+    path = scratch_path(spark, "upload")
+    dealt = lines.repartition(8, "conv_id").sortWithinPartitions(*order)
+    dealt.select("value").write.text(path)
+    files, folder, jvm = tables._files(spark, path)
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            files.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f"{name[:10]}.jsonl"))
+    return path
+
+
+@query
+def annotation_ingest_again(spark, sf):
+    """Files are taken in and their first items verified; then files of the same names that changed.
+
+    The second ones have other values, and more lines at their end, which alone are new.
+    """
+    store = AnnotationStore(spark, scratch_path(spark, "store"))
+    lines, later = A.jsonl_lines(spark, sf), F.col("conv_id") % 3 == 0
+    store.ingest(_uploaded(spark, lines.filter(~later), ["conv_id"]))
+    first = store.items().filter("item_index = 0")
+    store.save(first.select("item_id", F.lit("verified").alias("status")))
+    marked = F.regexp_replace("value", '"value":"(?!old)', '"value":"later ')
+    store.ingest(_uploaded(spark, lines.withColumn("value", marked), [later, "conv_id"]))
+    named = store.items().join(store.records().select("record_id", "ticker"), "record_id")
+    state = store.annotations().select("item_id", "status")
+    return named.join(state, "item_id").select(
+        "ticker", "item_index", "original_tag", "original_value", "status"
+    )
+
+
 @query
 def insert_or_ignore(spark, sf):
     """First event per user and type, unless a purchase of the user is stored already."""
@@ -130,6 +164,20 @@ def annotation_stream(spark, sf):
     return state.select("item_id", "annotated_value", "annotation_comment", "status")
 
 
+@query
+def annotation_state_stream(spark, sf):
+    """Saves in three batches without order; a stateful operator holds the latest of each item."""
+    events = A.annotation_events(spark, sf)
+    source, target, log = (scratch_path(spark, n) for n in ("saves", "states", "log"))
+    micros = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    for part in range(3):
+        chosen = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).drop("event_id")
+        chosen.write.mode("append").options(**micros).json(source)
+        track_saves(spark, source, target, log).awaitTermination()
+    state = current_states(spark, target)
+    return state.select("item_id", "annotated_value", "annotation_comment", "status")
+
+
 @query
 def annotation_worklist(spark, sf):
     joined = annotations.items_with_annotations(

@@ -44,6 +44,10 @@ COVERAGE = f"""{FACTS}, coverage AS (
 total AS (SELECT count(*) AS n FROM (SELECT DISTINCT filing_date, ticker FROM facts))"""
 
 oracle("concept_coverage", f"WITH {COVERAGE} SELECT * FROM coverage")
+oracle(
+    "concept_coverage_sketched",
+    f"WITH {COVERAGE} SELECT concept_name, num_filings, true AS estimate_near FROM coverage",
+)
 oracle(
     "distinct_filings",
     f"WITH {FACTS} SELECT DISTINCT CAST(filing_date AS VARCHAR) AS filing_date, ticker FROM facts",

@@ -8,19 +8,24 @@ from driver_queries.oracles import FACTS, LINES, ORACLES, RAW, SECURITIES, TAGS,
 
 RECORDS = """turns AS (SELECT *, CASE WHEN role = 'user' THEN 'words' END AS units
   FROM conversations),
-recs AS (
-  SELECT conv_id, 'C' || conv_id AS ticker, bool_or(role = 'system') AS broken,
+lines AS (
+  SELECT conv_id, 'C' || conv_id AS ticker, bool_or(role = 'system') AS cut,
     sum(length(to_json(role)) + length(to_json(text)) + 17
-      + CASE WHEN units IS NULL THEN 0 ELSE 16 END) + count(*) - 1
-      + length('{"ticker":"C' || conv_id || '","fy":2024,"values":[') AS n_open
-  FROM turns GROUP BY conv_id)"""
+      + CASE WHEN units IS NULL THEN 0 ELSE 16 END
+      + CASE WHEN conv_id % 5 = 1 THEN 26 ELSE 0 END) + count(*) - 1
+      + length('{"ticker":"C' || conv_id || '","fy":2024,"values":[')
+      + CASE WHEN conv_id % 5 = 3 THEN 22 ELSE 0 END AS n_open
+  FROM turns GROUP BY conv_id),
+recs AS (
+  SELECT conv_id, ticker, cut OR conv_id % 5 = 2 AS broken,
+    n_open + CASE WHEN cut THEN 0 WHEN conv_id % 5 = 2 THEN 11 ELSE 2 END AS n_chars FROM lines)"""
 oracle(
     "jsonl_line_numbers",
     "SELECT count(DISTINCT conv_id) AS n_lines, true AS contiguous FROM conversations",
 )
 oracle(
     "jsonl_records",
-    f"""WITH {RECORDS} SELECT ticker, CAST(2024 AS BIGINT) AS fy, CAST(n_open + 2 AS BIGINT)
+    f"""WITH {RECORDS} SELECT ticker, CAST(2024 AS BIGINT) AS fy, CAST(n_chars AS BIGINT)
       AS n_chars FROM recs WHERE NOT broken""",
 )
 oracle(
@@ -31,7 +36,17 @@ oracle(
 )
 oracle(
     "jsonl_rejects",
-    f"""WITH {RECORDS} SELECT ticker, CAST(n_open AS BIGINT) AS n_chars FROM recs WHERE broken""",
+    f"""WITH {RECORDS} SELECT ticker, CAST(n_chars AS BIGINT) AS n_chars FROM recs WHERE broken""",
+)
+oracle(
+    "annotation_ingest_again",
+    f"""WITH {RECORDS}, all_items AS (
+      SELECT conv_id, ticker, turn AS item_index, role,
+        CASE WHEN conv_id % 3 = 0 THEN 'later ' ELSE '' END || text AS original_value
+      FROM turns JOIN recs USING (conv_id) WHERE NOT broken)
+    SELECT ticker, item_index, role AS original_tag, original_value,
+      CASE WHEN item_index = 0 AND conv_id % 3 <> 0 THEN 'verified' ELSE 'pending' END AS status
+    FROM all_items""",
 )
 oracle(
     "insert_or_ignore",
@@ -48,7 +63,7 @@ _EVENT = """CAST(user_id AS VARCHAR) AS item_id,
   event_type AS annotation_comment,
   CASE event_type WHEN 'purchase' THEN 'verified' WHEN 'click' THEN 'annotated' ELSE 'pending' END
     AS status"""
-for _name in ("annotation_state", "annotation_stream"):
+for _name in ("annotation_state", "annotation_stream", "annotation_state_stream"):
     oracle(
         _name,
         f"""SELECT {_EVENT} FROM events

@@ -115,40 +115,36 @@ SITE_URL = "https://www.sec.gov"
 ARCHIVE_MARK = "/Archives/edgar/data/"
 
 # --- fixed values: document sections ---------------------------------------------
-# (id, heading, end marker, display name); `W` stands for a run of white space,
-# which covers the no-break space as well.
+# (id, pattern from the heading to the nearest end marker, display name); `W` stands for a run of
+# white space, which covers the no-break space as well.
 
 W = r"[\s\x1c-\x1f]"
 
 SECTION_PATTERNS = [
-    ("business_description", rf"Item{W}+1\.?{W}*Business", rf"Item{W}+1A", "Business Description"),
-    ("risk_factors", rf"Item{W}+1A\.?{W}*Risk{W}+Factors", rf"Item{W}+1B", "Risk Factors"),
+    ("business_description", rf"Item{W}+1\.?{W}*Business.+?Item{W}+1A", "Business Description"),
+    ("risk_factors", rf"Item{W}+1A\.?{W}*Risk{W}+Factors.+?Item{W}+1B", "Risk Factors"),
     (
         "mda",
-        rf"Item{W}+7\.?{W}*Management's{W}+Discussion",
-        rf"Item{W}+7A",
+        rf"Item{W}+7\.?{W}*Management's{W}+Discussion.+?Item{W}+7A",
         "Management Discussion & Analysis",
     ),
     (
         "financial_statements",
-        rf"Item{W}+8\.?{W}*Financial{W}+Statements",
-        rf"Item{W}+9",
+        rf"Item{W}+8\.?{W}*Financial{W}+Statements.+?Item{W}+9",
         "Financial Statements",
     ),
 ]
 
 FOOTNOTES_PATTERN = (
     "footnotes",
-    rf"Notes{W}+to{W}+(?:Consolidated{W}+)?Financial{W}+Statements",
-    rf"(?:Signatures|Item{W}+9)",
+    rf"Notes{W}+to{W}+(?:Consolidated{W}+)?Financial{W}+Statements.+?(?:Signatures|Item{W}+9)",
     "Notes to Financial Statements",
 )
 NOTE_PATTERN = rf"(Note{W}+\d+[\.:]{W}*[A-Z][^\.]+\.)(.+?)(?=Note{W}+\d+[\.:]{W}*[A-Z]|$)"
 
 SEGMENT_PATTERN = (
     "segment_info",
-    rf"Segment{W}+(?:Information|Data|Results)",
-    rf"(?:\d+{W}+Table{W}+of{W}+Contents|\d+)",
+    rf"Segment{W}+(?:Information|Data|Results).+?(?:\d+{W}+Table{W}+of{W}+Contents|\d+)",
     "Segment Information",
 )
 

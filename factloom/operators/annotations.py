@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.constants import CANONICAL_TAGS
-from factloom.functions.text import float_text, int_or_null
+from factloom.functions.text import int_or_null
 from factloom.operators.align import align, first_per_key
 from factloom.operators.coverage import tag_table
 from factloom.schemas import ANNOTATIONS, SOURCE_RECORDS, VALUE_ITEMS
@@ -25,50 +25,35 @@ def record_id(file_name: Column, index: Column) -> Column:
 
 
 def source_records(lines: DataFrame) -> DataFrame:
-    """Records of good lines: ``file_name, record_index, record_json`` plus ticker and year."""
-    # Of a repeated key the last value counts.
-    body = F.from_json("record_json", "ticker string, fy string")
+    """Records of good lines: ``file_name, record_index, record_json, ticker, fy``."""
     return align(
         lines.withColumns(
             {
                 "record_id": record_id(F.col("file_name"), F.col("record_index")),
-                "ticker": body["ticker"],
-                "fy": int_or_null(body["fy"]),
+                "fy": int_or_null(F.col("fy")),
             }
         ),
         SOURCE_RECORDS,
     )
 
 
-def _spoken_value(item: Column) -> Column:
-    """The ``value`` of an item as text: absent gives nothing, null gives None, true gives True."""
-    text = F.get_json_object(item, "$.value")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), "$.value", "variant"))
-    number = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
-    return (
-        F.when(kind.isNull(), F.lit(""))
-        .when(kind == "VOID", F.lit("None"))
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .when(number, float_text(text.try_cast("double")))
-        .otherwise(text)
-    )
-
+def value_items(lines: DataFrame) -> DataFrame:
+    """Items of the good lines, in ``items``; lines without a list give none.
 
-def value_items(records: DataFrame) -> DataFrame:
-    """Items of the ``values`` list of each record; records without a list give none."""
-    body = F.from_json("record_json", "values string")
-    listed = F.from_json(body["values"], "array<string>")
-    items = records.select("record_id", F.posexplode(listed).alias("item_index", "item_json"))
-    field = {n: F.get_json_object("item_json", f"$.{n}") for n in ("tag", "units", "comments")}
+    The value is spelled as text: absent gives nothing, null gives None, true gives True.
+    """
+    own = record_id(F.col("file_name"), F.col("record_index")).alias("record_id")
+    items = lines.select(own, F.posexplode("items").alias("item_index", "item"))
     return align(
-        items.withColumns(
-            {
-                "item_id": record_id(F.col("record_id"), F.col("item_index")),
-                "original_tag": field["tag"],
-                "original_value": _spoken_value(F.col("item_json")),
-                "original_units": field["units"],
-                "original_comments": field["comments"],
-            }
+        items.select(
+            "record_id",
+            "item_index",
+            record_id(F.col("record_id"), F.col("item_index")).alias("item_id"),
+            F.col("item.tag").alias("original_tag"),
+            F.col("item.value").alias("original_value"),
+            F.col("item.units").alias("original_units"),
+            F.col("item.comments").alias("original_comments"),
+            F.col("item.json").alias("item_json"),
         ),
         VALUE_ITEMS,
     )

@@ -23,9 +23,9 @@ from factloom.sources.html import visible_text
 _FLAGS = "(?isUd)"
 
 
-def _span(text: Column, heading: str, end: str) -> Column:
+def _span(text: Column, pattern: str) -> Column:
     """From the first heading to the nearest end marker after it; null when absent."""
-    return F.nullif(F.regexp_extract(text, f"{_FLAGS}{heading}.+?{end}", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(text, _FLAGS + pattern, 0), F.lit(""))
 
 
 def _entry(section: Column, name: Column, content: Column) -> Column:
@@ -35,7 +35,7 @@ def _entry(section: Column, name: Column, content: Column) -> Column:
 
 
 def _known(text: Column, specs) -> Column:
-    entries = [_entry(F.lit(i), F.lit(n), _span(text, h, e)) for i, h, e, n in specs]
+    entries = [_entry(F.lit(i), F.lit(n), _span(text, p)) for i, p, n in specs]
     return F.filter(F.array(*entries), lambda s: s["content"].isNotNull())
 
 
@@ -76,8 +76,7 @@ def sections_of(text: Column, footnotes: bool = False, segments: bool = False) -
 
 
 def footnotes_of(text: Column) -> Column:
-    _, heading, end, _ = FOOTNOTES_PATTERN
-    return _span(text, heading, end)
+    return _span(text, FOOTNOTES_PATTERN[1])
 
 
 def extract_sections(
@@ -108,6 +107,45 @@ def extract_notes(texts: DataFrame, text: str = "text") -> DataFrame:
     ).select(*keep, "note_pos", F.col("__n.id").alias("note_id"), "__n.title", "__n.content")
 
 
+#: Paragraphs that are packed at once.
+PACKED = 512
+
+
+def _chunk_starts(sizes: Column, max_size: int) -> Column:
+    """Numbers of the paragraphs that open a chunk after the first one, from the paragraph sizes.
+
+    Blocks of paragraphs are packed one after the other. What is carried from block to block is the
+    size of the open chunk, so the work grows with the number of paragraphs.
+    """
+    none = F.array().cast("array<int>")
+
+    def add(state: Column, size: Column) -> Column:
+        closes = (state["size"] + size > max_size) & (state["size"] > 0)
+        return F.struct(
+            (F.when(closes, F.lit(0)).otherwise(state["size"]) + size + 2).alias("size"),
+            (state["at"] + 1).alias("at"),
+            F.when(closes, F.array_append(state["starts"], state["at"]))
+            .otherwise(state["starts"])
+            .alias("starts"),
+        )
+
+    def pack(state: Column, k: Column) -> Column:
+        begin = F.struct(state["size"].alias("size"), (k * PACKED).alias("at"), none.alias("starts"))
+        inner = F.aggregate(F.slice(sizes, k * PACKED + 1, PACKED), begin, add)
+        return let(
+            inner,
+            lambda done: F.struct(
+                done["size"].alias("size"),
+                F.array_append(state["blocks"], done["starts"]).alias("blocks"),
+            ),
+        )
+
+    begin = F.struct(F.lit(0).alias("size"), F.array().cast("array<array<int>>").alias("blocks"))
+    last = F.greatest(F.lit(0), F.ceil(F.size(sizes) / PACKED).cast("int") - 1)
+    whole = F.aggregate(F.sequence(F.lit(0), last), begin, pack, lambda state: state["blocks"])
+    return F.flatten(whole)
+
+
 def pack_paragraphs(text: Column, max_size: int = PARAGRAPH_CHUNK) -> Column:
     """Array of chunks: paragraphs packed greedily up to ``max_size`` characters.
 
@@ -115,31 +153,23 @@ def pack_paragraphs(text: Column, max_size: int = PARAGRAPH_CHUNK) -> Column:
     never cut. Each one counts two more characters for the blank line after it.
     """
     paragraphs = F.filter(F.split(text, "\n\n"), lambda p: ~is_blank(p))
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.array().cast("array<string>").alias("open"),
-        F.lit(0).alias("size"),
-    )
 
-    def add(state: Column, p: Column) -> Column:
-        closes = (state["size"] + F.length(p) > max_size) & (state["size"] > 0)
-        joined = F.array_join(state["open"], "\n\n")
-        return F.struct(
-            F.when(closes, F.array_append(state["done"], joined))
-            .otherwise(state["done"])
-            .alias("done"),
-            F.when(closes, F.array(p)).otherwise(F.array_append(state["open"], p)).alias("open"),
-            (F.when(closes, F.lit(0)).otherwise(state["size"]) + F.length(p) + 2).alias("size"),
+    def chunks(parts: Column) -> Column:
+        count = F.size(parts)
+        starts = let(
+            F.transform(parts, lambda p: F.length(p)), lambda sizes: _chunk_starts(sizes, max_size)
         )
 
-    def close(state: Column) -> Column:
-        last = F.array_join(state["open"], "\n\n")
-        chunks = F.when(state["size"] > 0, F.array_append(state["done"], last)).otherwise(
-            state["done"]
-        )
-        return F.transform(chunks, strip)
+        def cut(later: Column) -> Column:
+            return F.zip_with(
+                F.concat(F.array(F.lit(0)), later),
+                F.array_append(later, count),
+                lambda a, b: strip(F.array_join(F.slice(parts, a + 1, b - a), "\n\n")),
+            )
+
+        return F.when(count > 0, let(starts, cut)).otherwise(F.array().cast("array<string>"))
 
-    return F.aggregate(paragraphs, start, add, close)
+    return F.when(text.isNotNull(), let(paragraphs, chunks))
 
 
 def chunk_rows(section: Column, max_size: int = PARAGRAPH_CHUNK) -> Column:

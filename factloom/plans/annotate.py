@@ -15,7 +15,8 @@ from factloom.operators.annotations import (
     prefill,
 )
 from factloom.schemas import ANNOTATIONS, SOURCE_RECORDS, VALUE_ITEMS
-from factloom.sources.jsonl import numbered_lines, read_records
+from factloom.session import cut_lineage
+from factloom.sources.jsonl import numbered_lines, one_file_per_name, parse_lines, records_of
 from factloom.sources.tables import append_rows, load_table
 
 
@@ -43,15 +44,19 @@ class AnnotationStore:
         return latest_state(self.events(), "item_id", *newest_saves())
 
     def ingest(self, path: str) -> DataFrame:
-        """Add new records and items of JSONL files; returns the rejected lines."""
-        records, items, rejected = read_records(numbered_lines(self.spark, path))
+        """Add new records and items of JSONL files; returns the rejected lines.
+
+        Each line is parsed once, into a written batch that records, items and pending states all
+        come from. Of files with one name one whole file is taken. What is stored stays as it is.
+        """
+        lines = one_file_per_name(numbered_lines(self.spark, path))
+        records, items, rejected = records_of(cut_lineage(parse_lines(lines), "parsed"))
         shells = pending_shells(items, self.events())
         append_rows(
             new_rows(
                 records,
                 self.records(),
                 ["file_name", "record_index"],
-                F.col("record_json"),
             ),
             self.paths["records"],
             "parquet",
@@ -61,8 +66,6 @@ class AnnotationStore:
                 items,
                 self.items(),
                 ["record_id", "item_index"],
-                F.col("original_tag"),
-                F.col("original_value"),
             ),
             self.paths["items"],
             "parquet",

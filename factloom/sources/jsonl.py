@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.annotations import source_records, value_items
 
+# Send the helpers with the tasks, so that executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their number from 0: ``file_name, line_index, value``.
+    """Lines of text files with their number from 0: ``file_name, file_path, line_index, value``.
 
     Each split of a file gets its first line number from the line counts of the
     splits before it. Only those counts are shuffled; the lines stay where they
@@ -38,32 +46,82 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     return lines.join(starts, ["file_path", "block"]).select(
         "file_name",
+        "file_path",
         (F.col("start") + F.col("row_id") - F.col("first_id")).alias("line_index"),
         "value",
     )
 
 
-def classify_lines(lines: DataFrame) -> DataFrame:
-    """Flag each line: is it one JSON object?
+def _text_or_none(value) -> str | None:
+    """What a text column keeps of a value; lists and objects are an error."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, (bool, int)):
+        return str(int(value))
+    if isinstance(value, float):
+        return repr(value)
+    raise TypeError(type(value).__name__)
 
-    Keys may repeat. Words that JSON does not have, such as NaN, make a line a bad one.
-    """
-    alone = F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1
-    good = F.ltrim("value").startswith("{") & alone
-    return lines.withColumn("good", F.coalesce(good, F.lit(False)))
 
+def _items(values) -> list[dict]:
+    """Items up to the first that is no object or has a field that no text column can keep."""
+    out = []
+    for item in values if isinstance(values, list) else []:
+        try:
+            told = {name: _text_or_none(item.get(name)) for name in ("tag", "units", "comments")}
+        except (AttributeError, TypeError):
+            break
+        out.append({**told, "value": str(item.get("value", "")), "json": json.dumps(item)})
+    return out
 
-def read_records(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records, their value items, and the rejected lines.
 
-    Bad lines keep their line number, so they still count.
+def _parsed(line: str | None) -> dict:
+    """One line as a JSON reader with Python's rules takes it: of equal keys the last one counts at
+    every depth, NaN and Infinity are numbers, and nothing may follow the object."""
+    try:
+        record = json.loads(line or "")
+        ticker, year = _text_or_none(record.get("ticker")), _text_or_none(record.get("fy"))
+    except (ValueError, AttributeError, TypeError, RecursionError):
+        return {"good": False, "ticker": None, "fy": None, "items": []}
+    return {"good": True, "ticker": ticker, "fy": year, "items": _items(record.get("values"))}
+
+
+PARSED = (
+    "good boolean, ticker string, fy string,"
+    " items array<struct<tag:string,units:string,comments:string,value:string,json:string>>"
+)
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``good, ticker, fy, items``: the verdict and the values from one reading."""
+
+    @F.pandas_udf(PARSED)
+    def parse(values: pd.Series) -> pd.DataFrame:
+        rows = [_parsed(v) for v in values]
+        return pd.DataFrame(rows, columns=["good", "ticker", "fy", "items"])
+
+    return lines.withColumn("__parsed", parse("value")).select(*lines.columns, "__parsed.*")
+
+
+def records_of(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, their value items, and the rejected lines, from what ``parse_lines`` made.
+
+    Bad lines keep their line number, so they still count. All three read ``parsed``: whoever wants
+    one reading writes it first.
     """
-    checked = classify_lines(lines)
-    good = checked.filter("good").select(
-        "file_name",
-        F.col("line_index").alias("record_index"),
-        F.col("value").alias("record_json"),
+    good = parsed.filter("good").withColumnsRenamed(
+        {"line_index": "record_index", "value": "record_json"}
     )
-    records = source_records(good)
-    rejected = checked.filter(~F.col("good")).select("file_name", "line_index", "value")
-    return records, value_items(records), rejected
+    rejected = parsed.filter(~F.col("good")).select("file_name", "line_index", "value")
+    return source_records(good), value_items(good), rejected
+
+
+def read_records(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, their value items, and the rejected lines."""
+    return records_of(parse_lines(lines))
+
+
+def one_file_per_name(lines: DataFrame) -> DataFrame:
+    """Of files with one name the whole file with the least path; the others are left out."""
+    first = lines.groupBy("file_name").agg(F.min("file_path").alias("file_path"))
+    return lines.join(first, ["file_name", "file_path"], "left_semi")

@@ -386,3 +386,29 @@ def test_content_levels(spark, rows):
     assert [s for s, _ in of(3, texts.withColumn("failed", F.lit(True)))] == ["error"]
     plain = of(1, texts.withColumn("raw", F.lit("no facts")))
     assert [s for s, _ in plain] == ["basic_info"]
+
+
+def test_packing_is_linear_and_as_by_hand(spark):
+    """Blocks of paragraphs carry the open chunk; two hundred thousand paragraphs in one section."""
+    rnd = random.Random(4)
+    texts = ["", " \n\n ", "one", "\n\na\n\nb"]
+    for _ in range(20):
+        count = rnd.choice([3, 40, 700, 1600])
+        texts.append("\n\n".join("x" * rnd.choice([1, 5, 30, 60]) for _ in range(count)))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r["c"] for r in df.select("k", sections.pack_paragraphs(F.col("t"), 50).alias("c")).collect()}
+    for k, text in enumerate(texts):
+        chunks, part, size = [], [], 0
+        for p in (p for p in text.split("\n\n") if p.strip()):
+            if size + len(p) > 50 and size > 0:
+                chunks.append("\n\n".join(part).strip())
+                part, size = [], 0
+            part.append(p)
+            size += len(p) + 2
+        if part:
+            chunks.append("\n\n".join(part).strip())
+        assert got[k] == chunks
+    long = spark.range(1).select(F.repeat(F.lit("some words\n\n"), 200_000).alias("t"))
+    for limit in (5, 4000):
+        packed = long.select(F.size(sections.pack_paragraphs(F.col("t"), limit)).alias("n")).first()
+        assert packed["n"] == (200_000 if limit == 5 else -(-200_000 // 333))

@@ -17,7 +17,7 @@ from factloom.schemas import FILINGS, NUMERIC_FACTS, VECTOR_RECORD
 from factloom.session import cut_lineage
 from factloom.sources import submissions, tables
 from factloom.sources.jsonl import numbered_lines, read_records
-from factloom.streaming.annotations import absorb_saves
+from factloom.streaming.annotations import absorb_saves, current_states, track_saves
 
 # --- line numbers and the annotation workflow --------------------------------
 
@@ -123,13 +123,52 @@ def test_saves_of_one_time_have_one_winner(spark, rows):
 def test_lines_with_repeated_keys_are_records(spark, rows):
     lines = [
         '{"ticker": "A", "fy": 1, "ticker": "B", "values": [1], "values": [{"tag": "x", "value": 2}]}',
-        '{"a": 1} {"b": 2}', '{"a": 1}, {"b": 2}', '{"a": NaN}', "[{}]", "{", "7",
+        '{"a": 1} {"b": 2}', '{"a": 1}, {"b": 2}', '{"a":1}],garbage', "[{}]", "{", "7", None,
     ]
     df = spark.createDataFrame([("f", k, v) for k, v in enumerate(lines)], "file_name string, line_index long, value string")
     records, items, rejected = read_records(df)
     assert rows(records, "record_index", "ticker", "fy") == [(0, "B", 1)]
     assert rows(items, "original_tag", "original_value") == [("x", "2")]
-    assert sorted(rows(rejected, "line_index")) == [(k,) for k in range(1, 7)]
+    assert sorted(rows(rejected, "line_index")) == [(k,) for k in range(1, 8)]
+
+
+def test_values_as_a_json_reader_takes_them(spark, rows):
+    """Repeated keys inside items, numbers that JSON does not have, and items that stop the list."""
+    values = (
+        '[{"tag":"x","tag":"y","value":"6","value":"7"}, {"value":NaN,"units":1,"comments":true},'
+        ' {"value":-Infinity}, {"value":{"a":[1,null]}}, {"value":1e400}, {"value":0.1, "units":2.0},'
+        ' {"value":12345678901234567890123}, {"value":"\\ud83d\\ude00"}, 5, {"value":"after"}]'
+    )
+    lines = ['{"a":NaN,"fy":"2020","values":' + values + "}", '{"ticker":[1]}', '{"values":[{"tag":[1]},{}]}']
+    df = spark.createDataFrame([("f", k, v) for k, v in enumerate(lines)], "file_name string, line_index long, value string")
+    records, items, rejected = read_records(df)
+    assert sorted(rows(records, "record_index", "fy")) == [(0, 2020), (2, None)]
+    assert rows(rejected, "line_index") == [(1,)]
+    got = sorted(rows(items, "item_index", "original_tag", "original_value", "original_units", "original_comments"))
+    assert got == [
+        (0, "y", "7", None, None), (1, None, "nan", "1", "1"), (2, None, "-inf", None, None),
+        (3, None, "{'a': [1, None]}", None, None), (4, None, "inf", None, None),
+        (5, None, "0.1", "2.0", None), (6, None, "12345678901234567890123", None, None),
+        (7, None, "\U0001f600", None, None),
+    ]
+
+
+def test_changed_file_of_the_same_name(spark, tmp_path, rows):
+    store = AnnotationStore(spark, str(tmp_path / "store"))
+    for folder, text in (("one", "old"), ("two", "new")):
+        for place in ("a", "b"):
+            path = tmp_path / folder / place / "set.jsonl"
+            path.parent.mkdir(parents=True)
+            record = {"ticker": text + place, "values": [{"tag": "t", "value": text + place}] * 2}
+            lines = [json.dumps(record)] * (2 if text == "old" else 3)
+            path.write_text("\n".join(lines) + "\n")
+        store.ingest(str(tmp_path / folder / "*" / "set.jsonl"))
+        if text == "old":
+            store.save(store.items().limit(1).select("item_id", F.lit("verified").alias("status")))
+    assert sorted(rows(store.records(), "record_index", "ticker")) == [(0, "olda"), (1, "olda"), (2, "newa")]
+    values = sorted(rows(store.items(), "item_id", "original_value"))
+    assert [v for _, v in values] == ["olda"] * 4 + ["newa"] * 2
+    assert sorted(rows(store.annotations(), "status")) == [("pending",)] * 5 + [("verified",)]
 
 
 def test_insert_or_ignore(spark, rows):
@@ -157,6 +196,34 @@ def test_item_outcomes(spark, rows):
     ]
 
 
+def test_tracked_states_by_hand(spark, tmp_path, rows):
+    """Out-of-order and equal times, nulls, and a run without news."""
+    rnd = random.Random(5)
+    source, target, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    schema = "item_id string, annotated_value string, status string, updated_at timestamp"
+    times = [None, *[datetime.datetime(2024, 1, 1, 0, 0, 0, 1 + k) for k in range(6)]]
+    saves = [
+        (rnd.choice("abcd"), rnd.choice([None, "1", "2", "3"]), rnd.choice(["x", "y"]), rnd.choice(times))
+        for _ in range(60)
+    ]
+    for k in range(3):
+        batch = spark.createDataFrame(saves[k * 20 : k * 20 + 20], schema)
+        options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+        batch.write.mode("append").options(**options).json(source)
+        track_saves(spark, source, target, log).awaitTermination()
+    track_saves(spark, source, target, log).awaitTermination()
+    got = current_states(spark, target)
+    known = lambda v: (v is not None, v or 0)
+    want = {}
+    for item, value, status, time in saves:
+        order = (known(time), (value is not None, value or ""), (True, status))
+        if item not in want or order > want[item][0]:
+            want[item] = (order, (item, value, status, time))
+    assert sorted(rows(got, "item_id", "annotated_value", "status", "updated_at")) == sorted(
+        w for _, w in want.values()
+    )
+
+
 def test_neighbours_across_ranges(spark, rows):
     index = [0, 3, 99_999, 100_000, 100_001, 300_000]
     df = spark.createDataFrame([("f", f"f#{i}", i) for i in index], "file_name string, record_id string, record_index long")
