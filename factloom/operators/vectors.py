@@ -308,13 +308,16 @@ def assign_cells(
     return model.transform(featured).drop("__features"), np.asarray(model.clusterCenters())
 
 
-def nearest_cells(vectors: Column, centres: np.ndarray, most: int, reach: float = 0.0) -> Column:
+def nearest_cells(
+    vectors: Column, centres: np.ndarray, most: int, reach: float = 0.0, sizes=None, rows: int = 0
+) -> Column:
     """The cells whose centres are nearest to a vector, nearest first.
 
-    These are the first ``most`` and all others that are no more than ``reach`` farther than the
-    first.
+    These are the first ``most``, all others that are no more than ``reach`` farther than the first,
+    and, where the ``sizes`` of cells are given, as many as hold ``rows`` rows together.
     """
     known = np.asarray(centres, dtype=np.float64)
+    held = np.zeros(len(known)) if sizes is None else np.asarray(sizes)
 
     @F.pandas_udf("array<int>")
     def cells(column: pd.Series) -> pd.Series:
@@ -322,6 +325,9 @@ def nearest_cells(vectors: Column, centres: np.ndarray, most: int, reach: float
         order = far.argsort(axis=1, kind="stable")
         ahead = np.take_along_axis(far, order, axis=1)
         count = np.maximum((ahead <= ahead[:, :1] + reach).sum(axis=1), min(most, len(known)))
+        if rows:
+            short = (np.cumsum(held[order], axis=1) < rows).sum(axis=1)
+            count = np.maximum(count, np.minimum(short + 1, len(known)))
         return pd.Series([o[:n].astype(np.int32) for o, n in zip(order, count, strict=True)])
 
     return cells(vectors)
@@ -387,13 +393,18 @@ def search_cells(
 ) -> DataFrame:
     """Approximate search: only the cells nearest to a query, exact inside them.
 
-    A query probes its ``probes`` nearest cells and those within ``reach`` of the nearest, which
-    ``measured_reach`` gives. Blocks are counted per cell, so a query is sent to the blocks of its
+    A query probes its ``probes`` nearest cells, those within ``reach`` of the nearest, which
+    ``measured_reach`` gives, and as many as hold ``limit`` rows. Only the sizes of cells, of which
+    there are as many as centres, reach the driver. Blocks are counted per cell, so a query is sent to the blocks of its
     cells and to no others.
     """
     asked = _queries(queries, query_id, query_vector).filter(F.col("query_vector").isNotNull())
-    cells = nearest_cells(F.col("query_vector"), centres, probes, reach)
-    asked = asked.withColumn("__cell", F.explode(cells))
     indexed = indexed.withColumn("__cell", F.col("cell").cast("int")).drop("cell")
+    sizes = np.zeros(len(centres))
+    usable = indexed.filter(F.col(vector_col).isNotNull())
+    for row in usable.groupBy("__cell").count().collect():
+        sizes[row["__cell"]] = row["count"]
+    cells = nearest_cells(F.col("query_vector"), centres, probes, reach, sizes, limit)
+    asked = asked.withColumn("__cell", F.explode(cells))
     found = _met(indexed, asked, id_col, vector_col, limit, metric)
     return _finish(found, id_col, limit, metric, min_score)
