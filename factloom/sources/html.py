@@ -17,6 +17,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import let, strip
+
 # Send the helpers with the tasks, so that executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -85,41 +87,84 @@ def _attributes(source: str) -> dict[str, str]:
     return given
 
 
-class _NodeReader:
-    """Reads a document as tags and text nodes; a text node ends at any tag or comment."""
-
-    def open_tag(self, tag: str, attrs: str) -> None:
-        raise NotImplementedError
-
-    def close_tag(self, tag: str) -> None:
-        raise NotImplementedError
-
-    def text_node(self, data: str) -> None:
-        raise NotImplementedError
-
-    def read(self, html: str):
-        at = 0
-        for token in _TOKEN.finditer(html):
-            start = token.start()
-            if start > at:
-                data = html[at:start]
-                self.text_node(unescape(data) if "&" in data else data)
-            at = token.end()
-            kind = token.lastgroup
-            if kind == "attrs":
-                _, _, tag, attrs = token.groups()
-                tag = tag.lower()
-                self.open_tag(tag, attrs)
-                if attrs[-1:] == "/" and tag not in VOID:
-                    self.close_tag(tag)
-            elif kind == "end":
-                self.close_tag(token["end"].lower())
-        if at < len(html):
-            self.text_node(unescape(html[at:]))
-        return self
+def read_tokens(html: str) -> Iterator[tuple[str, str]]:
+    """What a document is made of: ``open:TAG`` with its attributes, ``close:TAG``, and ``text``.
+
+    A text ends at any tag or comment; comments, declarations and scripts give nothing.
+    """
+    at = 0
+    for token in _TOKEN.finditer(html):
+        start = token.start()
+        if start > at:
+            data = html[at:start]
+            yield "text", unescape(data) if "&" in data else data
+        at, kind = token.end(), token.lastgroup
+        if kind == "attrs":
+            _, _, tag, attrs = token.groups()
+            tag = tag.lower()
+            yield f"open:{tag}", attrs
+            if attrs[-1:] == "/" and tag not in VOID:
+                yield f"close:{tag}", ""
+        elif kind == "end":
+            yield f"close:{token['end'].lower()}", ""
+    if at < len(html):
+        yield "text", unescape(html[at:])
+
+
+TOKEN = "struct<kind:string,body:string>"
+#: Tokens that are folded at once.
+FOLDED = 512
+
+
+def html_tokens(c: Column, tags: dict[str, str | None]) -> Column:
+    """Array of ``kind, body``: the texts of a page and those of its tags that ``tags`` names.
+
+    The body of an opening tag is its attribute that ``tags`` asks for, or null without it.
+    """
+
+    def listed(html: str) -> list[dict]:
+        out = []
+        for kind, body in read_tokens(html):
+            event, _, tag = kind.partition(":")
+            if tag:
+                if tag not in tags:
+                    continue
+                named = tags[tag] if event == "open" else None
+                body = _attributes(body).get(named) if named else None
+            out.append({"kind": kind, "body": body})
+        return out
+
+    @F.pandas_udf(f"array<{TOKEN}>")
+    def tokens(values: pd.Series) -> pd.Series:
+        return values.map(listed, na_action="ignore")
+
+    return tokens(c)
+
 
+def _folded(tokens: Column, begin: Column, out: str, step) -> Column:
+    """What ``step`` (state, token) puts into the array ``out`` of its state, over all tokens.
 
-class _PartReader(_NodeReader):
+    Tokens are folded in blocks and each block starts an array of its own, so the work grows with
+    the number of tokens and not with its square.
+    """
+    held = f"array<{out}>"
+
+    def block(state: Column, k: Column) -> Column:
+        start = F.struct(state["own"].alias("own"), F.array().cast(held).alias("out"))
+        inner = F.aggregate(F.slice(tokens, k * FOLDED + 1, FOLDED), start, step)
+        return let(
+            inner,
+            lambda done: F.struct(
+                done["own"].alias("own"), F.array_append(state["out"], done["out"]).alias("out")
+            ),
+        )
+
+    last = F.greatest(F.lit(0), F.ceil(F.size(tokens) / FOLDED).cast("int") - 1)
+    start = F.struct(begin.alias("own"), F.array().cast(f"array<{held}>").alias("out"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(0), last), start, block, lambda s: s["out"]))
+
+
+class _PartReader:
     """Collects headings, texts, fact tags, contexts and units in document order."""
 
     def __init__(self, fact_tags: set[str]):
@@ -217,6 +262,16 @@ class _PartReader(_NodeReader):
         elif local in MEMBERS:
             self.definition.setdefault("members", []).append(text)
 
+    def read(self, html: str) -> _PartReader:
+        for kind, body in read_tokens(html):
+            if kind == "text":
+                self.text_node(body)
+            elif kind.startswith("open:"):
+                self.open_tag(kind[5:], body)
+            else:
+                self.close_tag(kind[6:])
+        return self
+
     def finish(self) -> list[dict]:
         last = len(self.rows) - 1
         for row in self.rows:
@@ -301,104 +356,96 @@ def _part_batch(batch: pa.RecordBatch, carried, sources, columns) -> pa.RecordBa
     return pa.RecordBatch.from_arrays(arrays, names=[*carried, *PART_COLUMNS])
 
 
-class _TextReader(_NodeReader):
-    """Collects the visible strings of a document."""
-
-    def __init__(self):
-        self.strings: list[str] = []
-        self.hidden = 0
-
-    def open_tag(self, tag, attrs):
-        self.hidden += tag in HIDDEN
+def visible_strings(c: Column) -> Column:
+    """Array of the visible texts of a page, each stripped; null stays null."""
 
-    def close_tag(self, tag):
-        if tag in HIDDEN and self.hidden:
-            self.hidden -= 1
+    def step(state: Column, token: Column) -> Column:
+        kind, depth = token["kind"], state["own"]
+        deeper = F.when(kind == "text", depth).when(kind.startswith("open:"), depth + 1)
+        seen = (kind == "text") & (depth == 0)
+        return F.struct(
+            deeper.otherwise(F.greatest(F.lit(0), depth - 1)).alias("own"),
+            F.when(seen, F.array_append(state["out"], token["body"]))
+            .otherwise(state["out"])
+            .alias("out"),
+        )
 
-    def text_node(self, data):
-        if not self.hidden and (text := data.strip()):
-            self.strings.append(text)
+    def shown(tokens: Column) -> Column:
+        # Without hidden elements all texts are seen.
+        hidden = F.exists(tokens, lambda t: t["kind"] != "text")
+        texts = F.when(hidden, _folded(tokens, F.lit(0), "string", step)).otherwise(
+            F.transform(tokens, lambda t: t["body"])
+        )
+        return F.filter(F.transform(texts, strip), lambda x: x != "")
 
-
-def visible_strings(html: str) -> list[str]:
-    return _TextReader().read(html).strings
+    return let(html_tokens(c, dict.fromkeys(HIDDEN)), shown)
 
 
 def visible_text(c: Column, separator: str = "\n") -> Column:
     """Visible strings, each stripped, joined by ``separator``."""
+    return F.array_join(visible_strings(c), separator)
 
-    @F.pandas_udf("string")
-    def render(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: separator.join(visible_strings(v)), na_action="ignore")
 
-    return render(c)
+#: What ends a line of text (fixed values).
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def page_text(c: Column) -> Column:
     """Readable text of a page: visible strings cut into lines and phrases, blank ones dropped."""
 
-    def clean(html: str) -> str:
-        lines = "\n".join(visible_strings(html)).splitlines()
-        phrases = (p.strip() for line in lines for p in line.strip().split("  "))
-        return "\n".join(p for p in phrases if p)
-
-    @F.pandas_udf("string")
-    def render(values: pd.Series) -> pd.Series:
-        return values.map(clean, na_action="ignore")
-
-    return render(c)
-
-
-class _TableReader(_NodeReader):
-    """Rows of the document table of an index page: first cell text, third cell link."""
-
-    def __init__(self, summary: str):
-        self.summary = summary
-        self.state = "before"
-        self.cells: list[dict] = []
-        self.in_cell = False
-        self.rows: list[dict] = []
+    def phrases(line: Column) -> Column:
+        return F.transform(F.split(strip(line), "  ", -1), strip)
 
-    def open_tag(self, tag, attrs):
-        if tag == "table" and self.state == "before":
-            if _attributes(attrs).get("summary") == self.summary:
-                self.state = "inside"
-        elif self.state != "inside":
-            return
-        elif tag == "tr":
-            self._end_row()
-        elif tag == "td":
-            self.cells.append({"text": "", "links": []})
-            self.in_cell = True
-        elif tag == "a" and self.in_cell:
-            self.cells[-1]["links"].append(_attributes(attrs).get("href"))
+    lines = F.split(visible_text(c), LINE_ENDS, -1)
+    parts = F.flatten(F.transform(lines, phrases))
+    return F.array_join(F.filter(parts, lambda p: p != ""), "\n")
 
-    def close_tag(self, tag):
-        if self.state != "inside":
-            return
-        if tag == "td":
-            self.in_cell = False
-        elif tag in ("tr", "table"):
-            self._end_row()
-            self.state = "after" if tag == "table" else "inside"
 
-    def text_node(self, data):
-        if self.state == "inside" and self.in_cell:
-            self.cells[-1]["text"] += data
-
-    def _end_row(self):
-        if len(self.cells) >= 3:
-            links = self.cells[2]["links"]
-            label = self.cells[0]["text"].strip().lower()
-            self.rows.append({"label": label, "href": links[0] if links else None})
-        self.cells, self.in_cell = [], False
+#: Tags of an index page and the attributes that count.
+_TABLE_TAGS = {"table": "summary", "tr": None, "td": None, "a": "href"}
+_ROW = "struct<label:string,href:string>"
 
 
 def index_rows(c: Column, summary: str = "Document Format Files") -> Column:
-    """Array of ``(label, href)`` for table rows with at least three cells."""
+    """Array of ``(label, href)`` for table rows with at least three cells.
 
-    @F.pandas_udf("array<struct<label:string,href:string>>")
-    def render(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: _TableReader(summary).read(v).rows, na_action="ignore")
-
-    return render(c)
+    Rows of the first table with that summary: text of the first cell, first link of the third.
+    """
+    none = F.lit(None).cast("string")
+
+    def at(phase: Column, cells=None, inside=None, label=None, href=None, linked=None) -> Column:
+        """Where the reader stands: before, inside or after the table, and what the row has so far."""
+        given = {
+            "phase": phase,
+            "cells": F.lit(0) if cells is None else cells,
+            "inside": F.lit(False) if inside is None else inside,
+            "label": F.lit("") if label is None else label,
+            "href": none if href is None else href,
+            "linked": F.lit(False) if linked is None else linked,
+        }
+        return F.struct(*[v.alias(k) for k, v in given.items()])
+
+    def step(state: Column, token: Column) -> Column:
+        kind, body, own = token["kind"], token["body"], state["own"]
+        row = [own[n] for n in ("cells", "inside", "label", "href", "linked")]
+        cells, inside, label, href, linked = row
+        within = own["phase"] == 1
+        ends = within & kind.isin("open:tr", "close:tr", "close:table")
+        cell_link = (kind == "open:a") & inside & (cells == 3) & ~linked
+        moved = (
+            F.when(~within, at(F.when((own["phase"] == 0) & (kind == "open:table") & body.eqNullSafe(F.lit(summary)), 1).otherwise(own["phase"]), *row))
+            .when(ends, at(F.when(kind == "close:table", 2).otherwise(1)))
+            .when(kind == "open:td", at(own["phase"], cells + 1, F.lit(True), label, href, linked))
+            .when(kind == "close:td", at(own["phase"], cells, F.lit(False), label, href, linked))
+            .when(cell_link, at(own["phase"], cells, inside, label, body, F.lit(True)))
+            .when((kind == "text") & inside & (cells == 1), at(own["phase"], cells, inside, F.concat(label, body), href, linked))
+            .otherwise(own)
+        )
+        made = F.struct(F.lower(strip(label)).alias("label"), href.alias("href"))
+        out = F.when(ends & (cells >= 3), F.array_append(state["out"], made)).otherwise(state["out"])
+        return F.struct(moved.alias("own"), out.alias("out"))
+
+    return let(
+        html_tokens(c, _TABLE_TAGS),
+        lambda tokens: F.when(tokens.isNotNull(), _folded(tokens, at(F.lit(0)), _ROW, step)),
+    )

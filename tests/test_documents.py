@@ -236,14 +236,21 @@ def test_long_text_facts_are_cut_only_at_the_first_level(spark):
 
 def test_visible_text(spark, rows):
     html = "<title>t</title><p> a  b<br>c\n d </p><script>x</script><template>y</template>&amp;&nbsp;e"
-    assert visible_strings(html) == ["t", "a  b", "c\n d", "&\xa0e"]
+    seen = lambda *pages: [
+        r[0] for r in spark.createDataFrame([(p,) for p in pages], "h string").select(visible_strings(F.col("h"))).collect()
+    ]
+    assert seen(html) == [["t", "a  b", "c\n d", "&\xa0e"]]
     df = spark.createDataFrame([(html,), (None,)], "html string")
     got = df.select(visible_text(F.col("html")), page_text(F.col("html"))).collect()
     assert tuple(got[0]) == ("t\na  b\nc\n d\n&\xa0e", "t\na\nb\nc\nd\n&\xa0e")
     assert tuple(got[1]) == (None, None)
-    for broken in ("", "<", "a < b", "x <p", "</", "<!-- open", "<a href='x>y"):
-        assert isinstance(visible_strings(broken), list)
-    assert visible_strings("a < b<p title='x > y'>c") == ["a < b", "c"]
+    broken = ("", "<", "a < b", "x <p", "</", "<!-- open", "<a href='x>y")
+    assert all(isinstance(found, list) for found in seen(*broken))
+    assert seen("a < b<p title='x > y'>c") == [["a < b", "c"]]
+    nested = "a<template>b<template>c</template>d</template>e</template>f<script>g</script>h"
+    assert seen(nested) == [["a", "e", "f", "h"]]
+    many = "".join(f"<p>x{k}</p>" + ("<template>y</template>" if k % 3 else "") for k in range(5000))
+    assert seen(many) == [[f"x{k}" for k in range(5000)]]
 
 
 def test_index_links(spark, rows):
