@@ -327,6 +327,20 @@ def columnar_json_rows(spark, sf):
     )
 
 
+@query
+def columnar_json_others(spark, sf):
+    """A field that nobody named, in documents that keep their arrays under ``filings.recent``."""
+    from factloom.sources.submissions import filings_from_json
+
+    renamed = F.replace("value", F.lit('"reportDate":'), F.lit('"itemDates":'))
+    rows = filings_from_json(_columnar(spark, sf).withColumn("value", renamed), others="others")
+    named = F.array_join(F.array_sort(F.map_keys("others")), ",")
+    return rows.select(
+        "cik", "position", "accessionNumber", "reportDate", named.alias("names"),
+        F.col("others")["itemDates"].alias("item_date"),
+    )
+
+
 @query
 def filings_union(spark, sf):
     """Diagonal concat of index rows and a frame with other columns."""

@@ -568,6 +568,28 @@ def facts_of_one_ticker(spark, sf):
     return _fact_totals(facts)
 
 
+@query
+def string_facts_appended(spark, sf):
+    """Text facts appended to a catalog table, one kind after the other."""
+    name, path = f"texts_{uuid.uuid4().hex}", scratch_path(spark, "catalog")
+    facts = A.numeric_facts(spark, sf).select(
+        "concept_name", F.col("ticker").alias("value"), F.col("filing_date").cast("string").alias("date")
+    )
+    spark.sql(
+        f"CREATE TABLE {name} (concept_name STRING, value STRING, date STRING)"
+        f" USING parquet LOCATION '{path}'"
+    )
+    early = F.col("concept_name") < "M"
+    for kind in (early, ~early):
+        tables.append_string_facts(facts.filter(kind), name)
+    stored = spark.table(name).groupBy("concept_name").agg(
+        F.count("*").alias("n_facts"), F.max("value").alias("last"), F.min("date").alias("first_date")
+    )
+    rows = cut_lineage(stored, "stored")
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
 @query
 def facts_with_metadata(spark, sf):
     """Facts appended twice to a catalog table with other metadata each time."""

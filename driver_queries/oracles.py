@@ -229,6 +229,12 @@ oracle(
       CASE WHEN position < n - 1 THEN coalesce(primaryDocument, '-') END AS primaryDocument,
       CAST(NULL AS VARCHAR) AS fileNumber FROM placed""",
 )
+oracle(
+    "columnar_json_others",
+    f"""WITH {RAW} SELECT cik, row_number() OVER (PARTITION BY cik ORDER BY o_orderkey) - 1 AS position,
+      accessionNumber, CAST(NULL AS VARCHAR) AS reportDate, 'fileNumber,itemDates' AS names,
+      reportDate AS item_date FROM raw""",
+)
 oracle(
     "filings_union",
     f"""WITH {RAW}, both_kinds AS (

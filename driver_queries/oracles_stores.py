@@ -235,6 +235,11 @@ oracle(
       '2024-01-0' || (label % 2 + 1) AS date, 16 AS dim FROM embeddings""",
 )
 oracle("facts_of_one_ticker", f"SELECT * FROM ({_totals('ticker')}) WHERE ticker = 'T000002'")
+oracle(
+    "string_facts_appended",
+    f"""WITH {FACTS} SELECT concept_name, count(*) AS n_facts, max(ticker) AS last,
+      CAST(min(filing_date) AS VARCHAR) AS first_date FROM facts GROUP BY concept_name""",
+)
 oracle(
     "facts_with_metadata",
     f"""WITH {FACTS} SELECT form, concept_name, count(*) AS n_facts

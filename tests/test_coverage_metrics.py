@@ -159,3 +159,20 @@ def test_projection_and_filters(spark):
     assert tuple(row["metadata"]) == (None, 4)
     assert facts.of_report_year(wide, 2023).count() == 3
     assert facts.of_report_year(wide.withColumn("report_date", F.lit("x")), 1900).count() == 3
+
+
+def test_merged_sketches_are_those_of_all_facts(spark, tmp_path, rows):
+    listed = [(f"c{k % 3}", None if k % 50 == 0 else f"d{k % 40}", f"t{k % 7}") for k in range(600)]
+    facts = spark.createDataFrame(listed, "concept_name string, filing_date string, ticker string")
+    path = str(tmp_path / "sketches")
+    for part in range(3):
+        # Batches overlap: every row of the second is in the third too.
+        chosen = facts if part == 2 else facts.filter(f"ticker < 't{3 + part}'")
+        stored = coverage.refresh_sketches(chosen, path)
+    exact = dict(rows(coverage.concept_coverage(facts), "concept_name", "num_filings"))
+    found = dict(rows(coverage.estimated_coverage(stored), "concept_name", "num_filings"))
+    assert set(found) == set(exact)
+    assert all(abs(found[c] - exact[c]) <= 0.02 * exact[c] + 1 for c in exact)
+    whole = coverage.estimated_coverage(coverage.coverage_sketches(facts))
+    assert dict(rows(whole, "concept_name", "num_filings")) == found
+    assert coverage.estimated_coverage(coverage.coverage_sketches(facts.limit(0))).count() == 0

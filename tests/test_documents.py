@@ -117,6 +117,22 @@ def test_own_facts_are_those_of_the_document(spark, rows):
     assert plan.split("Physical Plan")[1].count("MapInArrow") == 1
 
 
+@pytest.mark.parametrize(("size", "overlap", "cut"), [(40, 7, 4096), (25, 20, 6), (1000, 100, 4096), (3, 0, 1)])
+def test_windows_are_those_of_the_whole_text(spark, monkeypatch, size, overlap, cut):
+    monkeypatch.setattr(render, "CUT", cut)
+    long = PAGE.replace("Works go on.", "Würks \U0001f600 go on. " * 40)
+    matched = ixbrl.own_facts(document_parts(pages(spark, PAGE, long)))
+    parts = ixbrl.document_sections(matched)
+    for form in (render.MarkdownFormat(2), render.PlainFormat(1)):
+        whole = render.render_documents(parts, form)
+        want = sections.window_chunks(whole, "document", size, overlap)
+        windows = render.document_windows(parts, form, size, overlap)
+        shown = lambda df: sorted(tuple(r) for r in df.select("filing_id", "chunk_no", "chunk").collect())
+        assert shown(windows) == shown(want)
+        plan = windows._jdf.queryExecution().toString().split("Physical Plan")[1]
+        assert plan.count("MapInArrow") == 1
+
+
 def test_the_last_fact_of_an_id_stands(spark, rows):
     twice = known(spark).unionByName(
         known(spark).filter("fact_id = 'dues'").withColumns(

@@ -488,6 +488,25 @@ def test_collect_is_incremental_and_idempotent(spark, tmp_path, rows):
     assert sorted(rows(again, "primaryDocument")) == [("a.htm",), ("b.htm",), ("c.htm",)]
 
 
+def test_unnamed_index_fields(spark, rows):
+    """Arrays at the root, below it, and a list of objects; what is no array is left out."""
+    docs = [
+        {"accessionNumber": ["1", "2"], "size": [10, None], "name": "x", "items": ["a"]},
+        {"filings": {"recent": {"accessionNumber": ["3"], "size": [30], "form": ["10-K"]}}, "act": ["no"]},
+        [{"accessionNumber": "4", "form": "8-K", "size": 40, "act": "34"}],
+    ]
+    files = spark.createDataFrame(
+        [(str(k), 0, f"f{k}", json.dumps(d)) for k, d in enumerate(docs)],
+        "cik string, source_rank int, file_name string, value string",
+    )
+    got = submissions.filings_from_json(files, ["items"], others="rest")
+    assert sorted(rows(got, "accessionNumber", "form", "items")) == [
+        ("1", None, "a"), ("2", None, None), ("3", "10-K", None), ("4", "8-K", None),
+    ]
+    rest = {r["accessionNumber"]: r["rest"] for r in got.collect()}
+    assert rest == {"1": {"size": "10"}, "2": {"size": None}, "3": {"size": "30"}, "4": {"size": "40", "act": "34"}}
+
+
 HTML = """<html xmlns:us-gaap="http://fasb.org/us-gaap/2023"><body><h1>R</h1>
 <xbrli:context id="c"><xbrli:period><xbrli:instant>2022-12-31</xbrli:instant></xbrli:period></xbrli:context>
 <ix:nonFraction name="us-gaap:Assets" contextRef="c" id="f">{}</ix:nonFraction>
