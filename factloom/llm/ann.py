@@ -30,6 +30,8 @@ NEIGHBOURS, CURVES, AXES, BITS, BLOCK = 20, 8, 6, 8, 1024
 #: these neighbours that the windows must hold.
 FITTED, MEASURED, WANTED = 4096, 64, 0.95
 TASK_BITS, SEED = 33, 5
+#: Queries that meet the rows of a block in one task.
+QUERIES = 4096
 
 
 class Curve(NamedTuple):
@@ -244,6 +246,18 @@ def window_for(
     return 0
 
 
+def _meetings(asked: DataFrame, stored: DataFrame, groups: int, meet) -> DataFrame:
+    """``meet`` for the queries and the rows of each block, the queries dealt into ``groups``.
+
+    A block of rows goes to each group, so a task holds a bounded number of both.
+    """
+    part = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    left = asked.withColumn("part", part).groupBy("on", "at", "part")
+    right = stored.select("curve", "block", "id", "vector", every.alias("part"))
+    return left.cogroup(right.groupBy("curve", "block", "part")).applyInPandas(meet, PAIRS)
+
+
 def nearest(
     vectors: DataFrame,
     asked: Column,
@@ -273,10 +287,11 @@ def nearest(
         return nothing
     same = Window.partitionBy("vector").orderBy("id")
     found = found.filter(F.size("vector") == top["size"]).dropDuplicates(["id", "vector"])
-    ranked = found.withColumn("asked", asked).withColumn("same", F.row_number().over(same))
-    rows = cut_lineage(
-        ranked.filter((F.col("same") <= count + 1) | F.col("asked")).drop("same"), "vectors"
-    )
+    found = cut_lineage(found.withColumn("asked", asked), "usable")
+    # A plain limit, which each task applies before it sends rows of a common vector anywhere.
+    first = found.withColumn("same", F.row_number().over(same)).filter(F.col("same") <= count + 1)
+    every = first.drop("same").union(found.filter("asked"))
+    rows = cut_lineage(every.dropDuplicates(["id", "vector"]), "vectors")
     if rows.filter("asked").isEmpty():
         return nothing
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -289,7 +304,6 @@ def nearest(
     steps = window_for(blocks, rows, count, measured, wanted)
 
     stored = blocks.select("curve", "block", "id", "asked").join(rows.select("id", "vector"), "id")
-    met = stored.select("curve", "block", "id", "vector").groupBy("curve", "block")
 
     def meet(queries: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(near):
@@ -308,7 +322,7 @@ def nearest(
     own = stored.filter("asked").select("curve", "block", "id", "vector")
     lowest = F.lit(float("-inf"))
     first = own.toDF("on", "at", "query_id", "query").withColumn("floor", lowest)
-    near = _merged(first.groupBy("on", "at").cogroup(met).applyInPandas(meet, PAIRS), count)
+    near = _merged(_meetings(first, stored, 1, meet), count)
     near = cut_lineage(near.select("query_id", "vec_id", "score"), "own-blocks")
     bounds = near.groupBy("query_id").agg(
         F.when(F.count("*") >= count, F.min("score")).otherwise(lowest).alias("floor")
@@ -318,5 +332,6 @@ def nearest(
     sent = own.select("curve", F.explode(around), "id", "vector")
     sent = sent.toDF("on", "at", "query_id", "query").join(bounds, "query_id", "left")
     sent = sent.withColumn("floor", F.coalesce("floor", lowest))
-    more = sent.groupBy("on", "at").cogroup(met).applyInPandas(meet, PAIRS)
+    most_asked = sent.groupBy("on", "at").count().agg(F.max("count")).first()[0] or 0
+    more = _meetings(sent, stored, max(1, -(-most_asked // QUERIES)), meet)
     return _merged(near.union(more), count).select("query_id", "rank", "vec_id", "score")

@@ -62,6 +62,23 @@ def test_equal_vectors_take_the_smallest_ids(spark):
     assert [r["vec_id"] for r in found.collect()] == [k for k, _ in exact(x, 240, 5)]
 
 
+def test_groups_of_queries_and_a_common_vector(spark, monkeypatch):
+    """Queries of a block go to several groups; half of all rows, queries among them, are equal."""
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 6))
+    x[::2] = x[0]
+    x = x.astype(np.float32)
+    found = ann.nearest(table(spark, x).withColumn("same", F.lit(1)), F.col("id") % 4 == 0, count=5, block=16)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert set(got) == set(range(0, 400, 4))
+    hits = sum(len(set(got[q].values()) & {k for k, _ in exact(x, q, 5)}) for q in got)
+    assert hits >= 0.9 * 5 * len(got)
+    assert list(got[300].values()) == [k for k, _ in exact(x, 300, 5)]
+
+
 def test_edges(spark):
     bad = [None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [1.0, 2.0, 3.0]]
     good = [[1.0, 0.0], [0.9, 0.1], [0.0, 2.0]]
