@@ -19,9 +19,12 @@ _SENT: set[str] = set()
 #: write each step's result, so the shuffle files behind it can go as soon as it is written.
 SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20),
 }
+#: Set where the session does not say: small shuffle partitions, so that tasks sort little at once
+#: beside the Python workers.
+UNLESS_SET = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -31,6 +34,9 @@ def prepare(spark: SparkSession) -> None:
     """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    for name, value in UNLESS_SET.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     session = spark.sparkContext.applicationId
     if session in _SENT:
         return
