@@ -232,7 +232,7 @@ oracle(
 oracle(
     "columnar_json_others",
     f"""WITH {RAW} SELECT cik, row_number() OVER (PARTITION BY cik ORDER BY o_orderkey) - 1 AS position,
-      accessionNumber, CAST(NULL AS VARCHAR) AS reportDate, 'fileNumber,itemDates' AS names,
+      accessionNumber, CAST(NULL AS VARCHAR) AS reportDate, 'itemDates' AS names,
       reportDate AS item_date FROM raw""",
 )
 oracle(
