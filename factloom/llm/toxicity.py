@@ -167,7 +167,11 @@ def groups_of(x: Presence, y: np.ndarray, weights: np.ndarray) -> dict[str, np.n
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1, half way to the next lower probability; above 1 if no y."""
+    """The threshold with the best F1, half way to the next lower probability.
+
+    At least half of those at or above it must be in ``y``. Above 1, so that nothing is rejected, if
+    no threshold holds that, as where labels are too few to learn from.
+    """
     if not y.any():
         return 2.0
     order = np.argsort(-p, kind="stable")
@@ -175,7 +179,10 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     hits = np.cumsum(y)
     score = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     last = np.append(p[1:] < p[:-1], True)
-    best = int(np.argmax(np.where(last, score, -1)))
+    sure = last & (2 * hits >= np.arange(1, len(y) + 1))
+    if not sure.any():
+        return 2.0
+    best = int(np.argmax(np.where(sure, score, -1)))
     return float((p[best] + (p[best + 1] if best + 1 < len(p) else 0)) / 2)
 
 

@@ -112,6 +112,15 @@ def test_threshold():
     assert 0.1 < t <= 0.3 and T.best_threshold(p, y * 0) > 1
 
 
+def test_nothing_is_rejected_where_nothing_was_learned(spark):
+    """Labels without a term in common: all documents have one probability, and all stay."""
+    assert T.best_threshold(np.full(50, 0.1), np.arange(50) % 10 == 0) > 1
+    texts, _ = sown(60, 4)
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(k, int(k in (3, 30))) for k in range(60)], "doc_id long, toxic int")
+    assert T.clean_documents(docs, labels).count() == 60
+
+
 def test_sample_is_bounded(spark):
     texts, toxic = sown(300, 3)
     labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
