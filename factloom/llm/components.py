@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root``: all nodes that ``links`` (``a``, ``b``) name, with the least they reach.
 
     Every round writes its links to the shared folder, so a lost executor costs one round. Self
-    links, repeated links and both directions may occur; an empty table gives an empty one.
+    links, repeated links and both directions may occur; an empty table gives an empty one. Rounds
+    grow with the logarithm of the longest chain; more than ``ROUNDS`` of them are an error.
     """
     links = cut_lineage(links.select("a", "b"), "found-links")
     nodes_only = links.filter("a = b").select(F.col("a").alias("node")).distinct()
