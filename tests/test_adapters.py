@@ -16,3 +16,19 @@ def test_accession_numbers_end_in_six_digits(spark, tmp_path, rows):
     order_table(spark, tmp_path, 42, 1234567)
     got = rows(A.raw_filings(spark, str(tmp_path)), "o_orderkey", "accessionNumber")
     assert dict(got) == {42: "0000000007-98-000042", 1234567: "0000000007-98-123456"}
+
+
+def test_pages_are_written_after_the_only_shuffle_of_lines(spark, tmp_path):
+    order_table(spark, tmp_path, 42)
+    day = datetime.datetime(1998, 4, 1)
+    spark.createDataFrame(
+        [(42, n, 5, 9, 100.0 + n, 3.0, 0.05, day) for n in (2, 1)],
+        "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint,"
+        " l_extendedprice double, l_quantity double, l_discount double, l_shipdate timestamp_ntz",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    pages = A.filing_pages(spark, str(tmp_path))
+    html = pages.first()["html"]
+    assert html.index("Line 1 of part 5") < html.index("Line 2 of part 5")
+    plan = pages._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
+    assert plan.count("Exchange ") == 2  # lines and orders
+    assert "listagg" not in plan
