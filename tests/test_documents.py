@@ -435,3 +435,12 @@ def test_packing_is_linear_and_as_by_hand(spark):
     for limit in (5, 4000):
         packed = long.select(F.size(sections.pack_paragraphs(F.col("t"), limit)).alias("n")).first()
         assert packed["n"] == (200_000 if limit == 5 else -(-200_000 // 333))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
+
+
+def test_parts_and_facts_meet_in_one_shuffle(spark):
+    doc = ixbrl.parse_documents(document_parts(pages(spark, PAGE)), known(spark))
+    assert plan_of(doc).count("Exchange ") == 1
