@@ -129,11 +129,19 @@ def distinct_concepts(facts: DataFrame) -> DataFrame:
 def first_row_per_concept(facts: DataFrame, *order: str) -> DataFrame:
     """One row per concept; ``order`` makes the choice repeatable.
 
-    The smallest row is kept by an aggregate, so each task passes on one row
-    per concept and nothing is sorted by the order columns.
+    An aggregate over a struct sorts all its rows, so the least value of the first order column is
+    found by hash first, and only rows that have it are compared whole. Concepts come from
+    taxonomies, so the list of least values is small enough to broadcast.
     """
+    lead = F.col(order[0])
+    # Nulls come first in an ascending order.
+    least = F.when(~F.max(lead.isNull()), F.min(lead))
+    lows = facts.groupBy("concept_name").agg(least.alias("__least"))
+    lows = lows.withColumnRenamed("concept_name", "__concept")
+    met = F.col("concept_name").eqNullSafe(F.col("__concept")) & lead.eqNullSafe(F.col("__least"))
+    first = facts.join(F.broadcast(lows), met, "left_semi")
     row, place = F.struct(*facts.columns), F.struct(*order)
-    return facts.groupBy("concept_name").agg(F.min_by(row, place).alias("row")).select("row.*")
+    return first.groupBy("concept_name").agg(F.min_by(row, place).alias("row")).select("row.*")
 
 
 def with_canonical_tag(facts: DataFrame, tags: Mapping[str, str] = CANONICAL_TAGS) -> DataFrame:

@@ -176,3 +176,19 @@ def test_merged_sketches_are_those_of_all_facts(spark, tmp_path, rows):
     whole = coverage.estimated_coverage(coverage.coverage_sketches(facts))
     assert dict(rows(whole, "concept_name", "num_filings")) == found
     assert coverage.estimated_coverage(coverage.coverage_sketches(facts.limit(0))).count() == 0
+
+
+def test_first_row_per_concept_sorts_no_whole_table(spark):
+    rows = [
+        (c, d, n)
+        for c in ("A", "B", None)
+        for d in (3, 1, 2, None if c == "B" else 4)
+        for n in ("y", "x")
+    ]
+    facts = spark.createDataFrame(rows, "concept_name string, day int, name string")
+    first = coverage.first_row_per_concept(facts, "day", "name")
+    assert sorted(map(tuple, first.collect()), key=str) == sorted(
+        [("A", 1, "x"), ("B", None, "x"), (None, 1, "x")], key=str
+    )
+    plan = first._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
+    assert "BroadcastHashJoin" in plan and " HashAggregate(keys=[concept_name" in plan.replace("- ", " ")
