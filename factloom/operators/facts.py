@@ -158,9 +158,10 @@ def with_filing(facts: DataFrame, filings: DataFrame) -> DataFrame:
 
     ``filings`` has one row per ``filing_id``. Filings without an instance
     address or ticker must be removed before (``usable_filings``); filings that
-    failed to parse have no facts and drop out.
+    failed to parse have no facts and drop out. Filings are hashed and facts stream past them,
+    as a sort would hold all facts of a task, many times the rows of its filings.
     """
-    return facts.join(filing_dates(filings), "filing_id")
+    return facts.join(filing_dates(filings).hint("shuffle_hash"), "filing_id")
 
 
 def string_fact_rows(parts: DataFrame) -> DataFrame:
