@@ -123,11 +123,12 @@ def last_fact_per_id(facts: DataFrame) -> DataFrame:
 def match_facts(parts: DataFrame, facts: DataFrame) -> DataFrame:
     """Parts with the columns of the fact of the same id, and a ``matched`` flag.
 
-    Headings and texts have no id; they meet nothing and pass through.
+    Headings and texts have no id; they meet nothing and pass through. ``parts`` may have a part of
+    the columns only, such as fact tags that were read alone.
     """
     have = [c for c in FACT_COLUMNS if c in facts.columns]
     right = last_fact_per_id(facts).select("filing_id", "fact_id", *have, F.lit(True).alias("hit"))
-    left = parts.select(*PART_KEYS)
+    left = parts.select(*[c for c in PART_KEYS if c in parts.columns])
     return left.join(right, ["filing_id", "fact_id"], "left").withColumn(
         "matched", F.coalesce("hit", F.lit(False))
     ).drop("hit")
