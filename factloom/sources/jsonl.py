@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import sys
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,17 +91,42 @@ PARSED = (
     "good boolean, ticker string, fy string,"
     " items array<struct<tag:string,units:string,comments:string,value:string,json:string>>"
 )
+_ITEM = pa.struct([(name, pa.string()) for name in ("tag", "units", "comments", "value", "json")])
+_PARSED_TYPES = {
+    "good": pa.bool_(), "ticker": pa.string(), "fy": pa.string(), "items": pa.list_(_ITEM),
+}
+#: Characters of lines that are parsed before their rows are handed on.
+PARSED_AT_ONCE = 1 << 20
+
+
+def _parsed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the columns of ``PARSED``, each of some lines only: what JSON makes of a line
+    takes many times its length, so a whole batch would be held in as much memory."""
+
+    def handed_on(part: pa.RecordBatch, rows: list[dict]) -> pa.RecordBatch:
+        made = [
+            pa.array([row[name] for row in rows], type=kind) for name, kind in _PARSED_TYPES.items()
+        ]
+        names = [*part.schema.names, *_PARSED_TYPES]
+        return pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
+
+    for batch in batches:
+        begin, size, rows = 0, 0, []
+        for text in batch.column("value"):
+            line = text.as_py()
+            rows.append(_parsed(line))
+            size += len(line or "")
+            if size >= PARSED_AT_ONCE:
+                yield handed_on(batch.slice(begin, len(rows)), rows)
+                begin, size, rows = begin + len(rows), 0, []
+        if rows:
+            yield handed_on(batch.slice(begin, len(rows)), rows)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """``lines`` with ``good, ticker, fy, items``: the verdict and the values from one reading."""
-
-    @F.pandas_udf(PARSED)
-    def parse(values: pd.Series) -> pd.DataFrame:
-        rows = [_parsed(v) for v in values]
-        return pd.DataFrame(rows, columns=["good", "ticker", "fy", "items"])
-
-    return lines.withColumn("__parsed", parse("value")).select(*lines.columns, "__parsed.*")
+    own = ", ".join(f"`{name}` {kind}" for name, kind in lines.dtypes)
+    return lines.mapInArrow(_parsed_batches, f"{own}, {PARSED}")
 
 
 def records_of(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
