@@ -312,5 +312,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     rows = cut_lineage(numbered(docs), "rows")
     judged = overlaps(rows, items, with_row=True, **options)
-    bad = judged.filter("contaminated").select(ROW)
+    # Written, so that its size is known and the texts stay where they are if it is small.
+    bad = cut_lineage(judged.filter("contaminated").select(ROW), "contaminated")
     return rows.join(bad, ROW, "left_anti").drop(ROW)

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from tests_llm_help import classes_of, documents, invented
 
 import corpus_pipeline
 from factloom.llm import near_copies, simhash
+from factloom.session import cut_lineage
 
 
 def shingled(text):
@@ -85,3 +87,40 @@ def test_edge_rows(spark, edge_docs, edge_texts, no_docs):
     want = first_ones([*edge_texts, "no id"])
     assert found == [(k == len(edge_texts), 0 if k == len(edge_texts) else k) for k in want]
     assert near_copies.first_of_each(no_docs).count() == 0
+
+
+def test_wide_bitmaps_differ_in_no_more_bits_than_sets_and_part_large_ones():
+    draw = np.random.default_rng(1)
+    for n in (1, 40, 700, 3000, 20000):
+        one = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
+        for share in (0.3, 0.6, 0.9, 1.0):
+            added = draw.integers(0, 2**64, int(n * (1 - share)), dtype=np.uint64)
+            two = np.unique(np.concatenate([one[: int(np.ceil(n * share))], added]))
+            differ = len(np.setxor1d(one, two))
+            bits = [near_copies.wide_bitmap(x).view("<u8") for x in (one, two)]
+            assert near_copies.bits_apart(*bits) <= differ
+            if n >= 700 and share <= 0.6:
+                # The short bitmap lets such pairs pass, since it is full.
+                assert 9 * near_copies.bits_apart(*bits) > len(one) + len(two)
+
+
+def test_sets_of_large_texts_that_are_no_near_copies_are_not_shuffled(spark, monkeypatch):
+    words = [f"w{i}" for i in range(6000)]
+    texts = [" ".join(words), " ".join([*words[:5900], *(f"x{i}" for i in range(100))])]
+    texts.append(" ".join([*words[:3000], *(f"y{i}" for i in range(3000))]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "__row long, text string")
+    common = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    rows = rows.select("*", near_copies._described(rows["text"], common).alias("near")).select(
+        "__row", "text", "near.*"
+    )
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    met = {}
+
+    def write(df, label, keep=False):
+        met[label] = sorted(tuple(r) for r in df.collect()) if label in ("likely", "closer") else 0
+        return cut_lineage(df, label, keep)
+
+    monkeypatch.setattr(near_copies, "cut_lineage", write)
+    near = near_copies._similar(pairs, rows, "text").collect()
+    assert [tuple(r) for r in near] == [(0, 1)]
+    assert met == {**met, "likely": [(0, 1), (0, 2), (1, 2)], "closer": [(0, 1)]}
