@@ -196,6 +196,22 @@ def decoded(ids: Column, vocabulary: str = VOCABULARY, pattern: str | None = Non
     return decode(ids)
 
 
+def coded(text: Column, vocabulary: str = VOCABULARY, pattern: str | None = None) -> Column:
+    """``ids, decoded``: ids of a text and the bytes they stand for, both made by one worker."""
+    pattern = pattern or public_tokenizers.PATTERN
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = encoder(vocabulary_path(vocabulary), pattern)
+        for texts in batches:
+            ids = list(own.encode_all(texts))
+            yield pd.DataFrame(
+                {"ids": ids, "decoded": [own.decode(x) for x in ids]}, dtype=object
+            )
+
+    return code(text)
+
+
 def encode_documents(
     docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pattern: str | None = None
 ) -> DataFrame:
@@ -204,8 +220,8 @@ def encode_documents(
     Nulls and empty texts have no ids. Rows are encoded on their own, so repeated rows repeat their
     ids, and an empty table stays empty. Texts of any length are cut in blocks of pre-tokens.
     """
-    ids = docs.withColumn("ids", encoded(F.col(text), vocabulary, pattern))
-    return ids.withColumn("decoded", decoded(F.col("ids"), vocabulary, pattern))
+    both = coded(F.col(text), vocabulary, pattern)
+    return docs.withColumns({"ids": both["ids"], "decoded": both["decoded"]})
 
 
 def digests(encoded_docs: DataFrame, key: str = "doc_id") -> DataFrame:

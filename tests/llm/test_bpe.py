@@ -73,3 +73,12 @@ def test_other_vocabulary(spark):
     docs = documents(spark, ["some words here"])
     one = bpe.encode_documents(docs, vocabulary="byte_bpe_50k.tiktoken").first()
     assert bytes(one["decoded"]) == b"some words here"
+
+
+def test_one_worker_encodes_and_decodes(spark):
+    """Two steps of Python in a task would be two workers, each with a vocabulary in memory."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
+    told = bpe.digests(bpe.encode_documents(docs))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [r.n_tokens > 0 for r in told.orderBy("doc_id").collect()] == [True, False, False]
