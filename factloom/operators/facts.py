@@ -8,7 +8,7 @@ kind, instant, start, end``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,22 +60,31 @@ def of_ticker(df: DataFrame, ticker: str) -> DataFrame:
 def with_contexts(facts: DataFrame, contexts: DataFrame) -> DataFrame:
     """Give each fact the period and entity of its context.
 
-    Facts and contexts meet on filing and context together, so one huge filing
-    spreads over as many tasks as it has contexts. A context is an instant, a
-    time frame, or anything else, which leaves all three dates null.
+    A context is an instant, a time frame, or anything else, which leaves all three dates null.
+    Facts and contexts are stacked and meet in a window on filing and context, which leaves them
+    where they are if both are dealt by filing already; a join would deal both anew. A fact that
+    has several contexts is repeated for each.
     """
     instant, frame = F.col("kind") == "instant", F.col("kind") == "duration"
-    looked_up = contexts.select(
-        "filing_id",
-        F.col("context_id").alias("context_ref"),
-        F.col("context_id"),
+    looked_up = F.struct(
+        F.col("context_id").alias("context_id"),
         F.col("entity").alias("context_entity"),
         F.col("scenario").alias("context_scenario"),
         F.when(instant, F.col("instant")).alias("period_instant"),
         F.when(frame, F.col("start")).alias("period_start"),
         F.when(frame, F.col("end")).alias("period_end"),
     )
-    return facts.join(looked_up, ["filing_id", "context_ref"], "left")
+    known = contexts.filter("filing_id is not null and context_id is not null").select(
+        "filing_id", F.col("context_id").alias("context_ref"), looked_up.alias("__context")
+    )
+    keys = ["filing_id", "context_ref"]
+    fact = F.struct(*[F.col(c) for c in facts.columns if c not in keys]).alias("__fact")
+    both = facts.select(*keys, fact).unionByName(known, allowMissingColumns=True)
+    met = both.withColumn("__met", F.collect_list("__context").over(Window.partitionBy(*keys)))
+    found = met.filter("__fact is not null").select(
+        *keys, "__fact.*", F.explode_outer("__met").alias("__context")
+    )
+    return found.select(*keys, *[c for c in facts.columns if c not in keys], "__context.*")
 
 
 def _as_date(facts: DataFrame, name: str) -> Column:
