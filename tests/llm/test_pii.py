@@ -176,3 +176,20 @@ def test_edges(edge_docs, no_docs):
     kept = pii.redact_documents(edge_docs)
     assert kept.filter("text is null").count() == edge_docs.filter("text is null").count()
     assert kept.count() == edge_docs.count()
+
+
+def test_trees_learn_from_all_documents(spark):
+    """More documents than a sample would hold; only those that its hash order puts last have spans."""
+    spans_of = ["mail joe{0}@x.example.com lot 12{0}-7", "at 10.1.{0}.7 or v{0}.300.400.500"]
+    order = spark.range(8_600).orderBy(F.xxhash64("id"), "id").collect()
+    texts = {r["id"]: spans_of[k % 2].format(k % 250) if k >= 8_000 else "plain words" for k, r in enumerate(order)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = pii.train(docs)
+    assert model is not None and len(model.trees) == pii.TREES
+
+
+def test_candidates_of_rows_without_a_key_and_of_repeated_keys_count(spark):
+    text = "write to joe@x.example.com or call 555-123-4567 now"
+    docs = spark.createDataFrame([(None, text), (7, text), (7, text), (8, None)], "doc_id long, text string")
+    found = pii.candidates(docs).groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()
+    assert {(r["kind"], r["label"]): r["n"] for r in found} == {(0, 1.0): 3, (2, 0.0): 3, (3, 0.0): 3}
