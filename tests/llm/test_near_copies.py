@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests_llm_help import classes_of, documents, invented
 
 import corpus_pipeline
@@ -124,3 +125,51 @@ def test_sets_of_large_texts_that_are_no_near_copies_are_not_shuffled(spark, mon
     near = near_copies._similar(pairs, rows, "text").collect()
     assert [tuple(r) for r in near] == [(0, 1)]
     assert met == {**met, "likely": [(0, 1), (0, 2), (1, 2)], "closer": [(0, 1)]}
+
+
+def test_fingerprints_link_first_and_are_checked(spark, monkeypatch):
+    """All that op2 links is tried before anything else, and what is no near copy stays apart."""
+    rng = random.Random(21)
+    base = invented(6, seed=22, low=300, high=300)
+    texts = [changed(t, n, rng) for t in base for n in (0, 1, 1, 2, 30)]
+    texts += [f"{'same ' * 90}{t}" for t in invented(2, seed=11, low=60, high=60)]
+    seen = []
+
+    def similar(pairs, rows, text, own=near_copies._similar):
+        seen.append([tuple(r) for r in pairs.select("a", "b").collect()])
+        place = {r["__row"]: r["text"] for r in rows.collect()}
+        seen[-1] = [(texts.index(place[a]), texts.index(place[b])) for a, b in seen[-1]]
+        return own(pairs, rows, text)
+
+    monkeypatch.setattr(near_copies, "_similar", similar)
+    assert kept(spark, texts) == first_ones(texts)
+    prints = [simhash.fingerprint_of(t) for t in texts]
+    want = [
+        (a, b) for a in range(len(texts)) for b in range(a)
+        if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS
+    ]
+    assert len(want) > 6
+    assert classes_of(range(len(texts)), seen[0]) == classes_of(range(len(texts)), want)
+
+
+def test_pairs_meet_a_few_times_however_much_they_share(spark):
+    """Texts of 1,000 words that share nearly all first shingles, and some that share one passage."""
+    rng = random.Random(23)
+    base = invented(1, seed=24, low=1000, high=1000)[0]
+    texts = [changed(base, 10, rng) for _ in range(12)]
+    texts += [f"{base[:400]} {t}" for t in invented(4, seed=25, low=300, high=300)]
+    common = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "__row long, text string")
+    rows = rows.select("__row", near_copies._described(rows["text"], common).alias("near"))
+    rows = rows.select("__row", F.col("__row").alias("root"), "near.*")
+    words = rows.select("*", F.posexplode("words").alias("at", "word"))
+    rooted = words.select(
+        "__row", "root", "size", "at", "word", *near_copies._flat_bits(), *near_copies._earlier_words()
+    )
+    met = near_copies._meetings(rooted).groupBy("a", "b").count().collect()
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                assert (a, b) in {(r["a"], r["b"]) for r in met}
+    assert len(met) >= 40 and sum(r["count"] for r in met) <= 3 * len(met)
